@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.common import read_table
 from folioforge.llm.exact_dedup import exact_dedup
+from folioforge.llm.quality_rules import quality_rules
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -15,7 +16,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the verdict for every document; documents labelled good are the trusted target."""
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    judged = quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return judged.select("doc_id", "_quality.*")
+
+
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
 }
 
