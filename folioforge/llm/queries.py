@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.llm.bpe_codec import bpe_digests
 from folioforge.llm.common import read_table
 from folioforge.llm.exact_dedup import exact_dedup
 from folioforge.llm.quality_rules import quality_rules
@@ -16,6 +18,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Ids and round trip of every document with the byte-level tokenizer."""
+    return bpe_digests(read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the verdict for every document; documents labelled good are the trusted target."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
@@ -24,6 +31,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op10_bpe_codec": op10_bpe_codec,
     "op7_quality_rules": op7_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
 }
