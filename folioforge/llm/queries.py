@@ -9,6 +9,7 @@ from folioforge.llm.bpe_codec import bpe_digests
 from folioforge.llm.common import read_table
 from folioforge.llm.exact_dedup import exact_dedup
 from folioforge.llm.quality_rules import quality_rules
+from folioforge.llm.simhash import simhash_components
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -23,6 +24,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return bpe_digests(read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of all documents."""
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the verdict for every document; documents labelled good are the trusted target."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
@@ -32,6 +38,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
+    "op8_simhash": op8_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
 }
