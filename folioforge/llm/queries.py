@@ -10,6 +10,7 @@ from folioforge.llm.common import read_table
 from folioforge.llm.exact_dedup import exact_dedup
 from folioforge.llm.quality_rules import quality_rules
 from folioforge.llm.simhash import simhash_components
+from folioforge.llm.substring_dedup import substring_dedup
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -29,6 +30,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 35 words that occur more than once, removed from all documents."""
+    return substring_dedup(read_table(spark, sf_dir, "documents"), window=35)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the verdict for every document; documents labelled good are the trusted target."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
@@ -39,6 +45,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
     "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
 }
