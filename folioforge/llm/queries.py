@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.llm.bpe_codec import bpe_digests
 from folioforge.llm.common import read_table
 from folioforge.llm.exact_dedup import exact_dedup
+from folioforge.llm.mixing import mix_counts
 from folioforge.llm.quality_rules import quality_rules
 from folioforge.llm.simhash import simhash_components
 from folioforge.llm.substring_dedup import substring_dedup
@@ -35,6 +36,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), window=35)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mix_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the verdict for every document; documents labelled good are the trusted target."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
@@ -46,6 +52,7 @@ QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
 }
