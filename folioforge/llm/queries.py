@@ -10,6 +10,7 @@ from folioforge.llm.common import read_table
 from folioforge.llm.exact_dedup import exact_dedup
 from folioforge.llm.mixing import mix_counts
 from folioforge.llm.quality_rules import quality_rules
+from folioforge.llm.secret_scan import secret_scan
 from folioforge.llm.simhash import simhash_components
 from folioforge.llm.substring_dedup import substring_dedup
 
@@ -36,6 +37,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), window=35)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; the source stands for the owner, source and language for the repository."""
+    return secret_scan(read_table(spark, sf_dir, "documents"), repository=["source", "lang"], owner="source")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mix_counts(read_table(spark, sf_dir, "documents"))
@@ -52,6 +58,7 @@ QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
