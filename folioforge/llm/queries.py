@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.llm import quality_gam, toxicity
 from folioforge.llm.bpe_codec import bpe_digests
 from folioforge.llm.common import read_table
 from folioforge.llm.exact_dedup import exact_dedup
@@ -17,6 +18,18 @@ from folioforge.llm.substring_dedup import substring_dedup
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents; the largest id stays."""
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
@@ -55,6 +68,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
+    "op6_toxicity": op6_toxicity,
     "op10_bpe_codec": op10_bpe_codec,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
