@@ -14,6 +14,7 @@ from folioforge.llm.quality_rules import quality_rules
 from folioforge.llm.secret_scan import secret_scan
 from folioforge.llm.simhash import simhash_components
 from folioforge.llm.substring_dedup import substring_dedup
+from folioforge.llm.token_file import token_digests
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -24,6 +25,11 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Ids of every document, written as coded blocks and read back."""
+    return token_digests(read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = read_table(spark, sf_dir, "documents")
@@ -69,6 +75,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
+    "op5_token_file": op5_token_file,
     "op6_toxicity": op6_toxicity,
     "op10_bpe_codec": op10_bpe_codec,
     "op8_simhash": op8_simhash,
