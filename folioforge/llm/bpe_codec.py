@@ -29,6 +29,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from folioforge.llm.common import text_or_empty
@@ -176,23 +177,28 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def bpe_ids(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_ids``, the array of ids of the text."""
+def bpe_rows(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, then ``token_ids`` and ``decodes``: whether the ids decode to the text."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())])
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path)
-        return texts.map(own.encode)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            ids = [own.encode(t) for t in texts]
+            right = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(right, pa.bool_())], names=[*batch.schema.names, "token_ids", "decodes"])
 
-    return docs.select("*", encode(text_or_empty(text_col)).alias("_ids"))
+    return docs.mapInArrow(run, schema)
 
 
-def bpe_texts(encoded: DataFrame, tokenizer_path: str, ids_col: str = "_ids") -> DataFrame:
-    """All columns of ``encoded`` and ``_decoded``, the text that its ids stand for."""
+def bpe_texts(encoded: DataFrame, tokenizer_path: str, ids_col: str = "token_ids") -> DataFrame:
+    """All columns of ``encoded`` and ``decoded_text``, the text that its ids stand for."""
 
     @F.pandas_udf("string")
     def decode(ids):
         own = codec(tokenizer_path)
-        return ids.map(lambda x: None if x is None else own.decode(x.tolist()))
+        return ids.map(lambda x: None if x is None else own.decode(list(x)))
 
-    return encoded.select("*", decode(ids_col).alias("_decoded"))
+    return encoded.select("*", decode(ids_col).alias("decoded_text"))

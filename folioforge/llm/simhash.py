@@ -40,7 +40,7 @@ RADIUS = 3
 _COUNTED = 1 << 16
 #: Variants that a bucket shall hold on average, and the bounds of the number of buckets (powers of two).
 VARIANTS, LEAST_BUCKETS, MOST_BUCKETS = 1 << 21, 64, 1 << 22
-_FP_ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 
 
 def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> list[int]:
@@ -83,17 +83,18 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, sizes = [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             own = np.array(shingle_hashes(text.as_py()), np.uint64)
             hashes.append(own)
             sizes.append(len(own))
         made = majority(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(sizes, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], schema=_FP_ARROW)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], schema=_FP_ARROW)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` for each row; ``fp`` holds the 64 bits as a long."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, row, fp`` for each row; ``fp`` holds the 64 bits as a long, ``row`` what ``row_col`` has or null."""
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row, text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(_fingerprint, "doc_id long, row long, fp long")
 
 
 class Balls:
@@ -223,13 +224,16 @@ def similar_fingerprints(distinct: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(links_of(bits), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, fingerprint, component_id``; the component's id is its least doc_id."""
-    prints = cut(fingerprints(docs, id_col, text_col), "simhash-prints")
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Per row ``doc_id, fingerprint, component_id``; the component's id is its least doc_id.
+
+    With ``row_col`` also that column as ``row``, and ``root``, a number that the component's rows share.
+    """
+    prints = cut(fingerprints(docs, id_col, text_col, row_col), "simhash-prints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     nodes = components(similar_fingerprints(distinct), "simhash-links")
     linked = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(of_root, "root").select("fp", "component_id")
-    named = cut(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = linked.join(of_root, "root").select("fp", "component_id", "root")
+    named = cut(distinct.join(moved, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "simhash-named")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["row", "root"] if row_col else []))
