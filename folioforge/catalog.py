@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("folioforge.plans.scalar_queries",)
+FLAGSHIP = "c03_heading_key"
 
 
 def gather() -> tuple[dict, dict]:
