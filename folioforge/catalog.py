@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("folioforge.plans.scalar_queries",)
-FLAGSHIP = "c03_heading_key"
+MODULES: tuple[str, ...] = ("folioforge.plans.scalar_queries", "folioforge.plans.search_queries", "folioforge.plans.join_queries", "folioforge.plans.window_queries")
+FLAGSHIP = "q01_search"
 
 
 def gather() -> tuple[dict, dict]:

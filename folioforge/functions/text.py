@@ -157,9 +157,9 @@ def match_spans(text: Column, pattern: str) -> Column:
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,matched:string>>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["1"].alias("matched")))).alias("out"))
+        start = state["at"] + F.length(x["piece"])
+        end = start + F.length(x["matched"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["matched"].alias("matched")))).alias("out"))
 
     return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, empty, step)["out"]).otherwise(empty["out"])
 

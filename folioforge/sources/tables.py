@@ -50,7 +50,7 @@ def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROGRESS_SQL = """progress AS (
-    SELECT event_id, user_id AS book_id, event_type AS device, epoch_ms(ts) AS wall,
+    SELECT event_id, user_id AS book_id, event_type AS device, epoch_us(ts) // 1000 AS wall,
            event_id % 8 AS counter, value / (1 + value) AS progression FROM events)"""
 
 
