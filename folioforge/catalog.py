@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("folioforge.plans.scalar_queries", "folioforge.plans.search_queries", "folioforge.plans.join_queries", "folioforge.plans.window_queries", "folioforge.plans.source_queries")
+MODULES: tuple[str, ...] = ("folioforge.plans.scalar_queries", "folioforge.plans.search_queries", "folioforge.plans.join_queries", "folioforge.plans.window_queries", "folioforge.plans.source_queries", "folioforge.plans.more_queries")
 FLAGSHIP = "q01_search"
 
 

@@ -86,3 +86,29 @@ def test_list_markers(spark):
     cases = {"• x": "•", "- x": "-", "-x": None, "1. x": "1.", "iv) x": "iv)", "toolong1. x": None, "plain": None}
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r.p: r.m for r in df.select("p", X.list_marker(F.col("p")).alias("m")).collect()} == cases
+
+
+def test_sentence_atoms_lose_nothing_and_keep_pairs():
+    from folioforge.functions.sentences import atoms
+
+    cases = {
+        "One. Two! Three": ["One. ", "Two! ", "Three"],
+        "He said “Go. Now.” and left. Yes": ["He said “Go. Now.” and left. ", "Yes"],
+        "End. (A note.) Next.": ["End. (A note.) ", "Next."],
+        "第一。第二？第三": ["第一。", "第二？", "第三"],
+        "Open ( never. Closed. x": ["Open ( never. ", "Closed. ", "x"],
+        "v1.2 is out": ["v1.2 is out"],
+        "": [],
+    }
+    for text, want in cases.items():
+        got = [text[a:b] for a, b in atoms(text)]
+        assert got == want and "".join(got) == text
+
+
+def test_joined_pages(spark):
+    from folioforge.operators.pages import joined_pages
+
+    pages = ["Head\n\nThe long para-", "graph ends here.", "next sentence\n\nIt ends", "# Title", "Half", "way. Done"]
+    df = spark.createDataFrame([(1, i, m) for i, m in enumerate(pages)], "book_id long, page long, markdown string")
+    got = [r.markdown for r in joined_pages(df).orderBy("page").collect()]
+    assert got == ["Head\n\nThe long paragraph ends here.", "", "next sentence\n\nIt ends", "# Title", "Half way. Done", ""]
