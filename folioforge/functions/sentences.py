@@ -56,6 +56,8 @@ def atoms(text: str, protected: tuple[tuple[int, int], ...] = ()) -> list[tuple[
                 at = b
                 while at < len(text) and text[at].isspace():
                     at += 1
+        if at < len(text) and text[at].islower() and m.group()[0] == ".":
+            continue  # a full stop before a small letter ends nothing
         if at < len(text) and (not cuts or at > cuts[-1]):
             cuts.append(at)
     parts = list(zip([0, *cuts], [*cuts, len(text)], strict=True))

@@ -96,7 +96,7 @@ def test_sentence_atoms_lose_nothing_and_keep_pairs():
         "He said “Go. Now.” and left. Yes": ["He said “Go. Now.” and left. ", "Yes"],
         "End. (A note.) Next.": ["End. (A note.) ", "Next."],
         "第一。第二？第三": ["第一。", "第二？", "第三"],
-        "Open ( never. Closed. x": ["Open ( never. ", "Closed. ", "x"],
+        "Open ( never. Closed. X": ["Open ( never. ", "Closed. ", "X"],
         "v1.2 is out": ["v1.2 is out"],
         "": [],
     }
