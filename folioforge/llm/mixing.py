@@ -178,8 +178,9 @@ class Mix:
 
     def taken_segments(self) -> DataFrame:
         """The segments of blocks that the mix takes, and how often (``times``)."""
+        # Sizes of Python stages are not known to the planner, which would broadcast this side at any size.
         times = self.slots().groupBy("source_index", "block").agg(F.count("*").alias("times"))
-        return self.segments().join(times, ["source_index", "block"])
+        return self.segments().join(times.hint("merge"), ["source_index", "block"])
 
 
 def _word_count(text) -> object:
@@ -207,7 +208,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pieces = mix.segments().join(words, "rid").select("source_index", "source", "block", "rid", F.array_join(F.slice("all", F.col("begin").cast("int") + 1, F.col("words").cast("int")), " ").alias("piece"), "begin")
     packed = pieces.groupBy("source_index", "block").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("rid", "begin", "piece"))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["piece"]), " ")
-    return mix.slots().join(packed, ["source_index", "block"]).select("shard", "slot", "source", "block", text.alias("text"))
+    return mix.slots().hint("merge").join(packed, ["source_index", "block"]).select("shard", "slot", "source", "block", text.alias("text"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
