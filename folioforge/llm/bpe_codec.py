@@ -22,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ LONG, LEAF = 512, 256
 #: Tokens on either side of a seam in the first window; doubled until both sides agree.
 WINDOW = 4
 THREADS = 2
+#: Rows whose ids are held at once where ids are returned.
+ROWS_AT_ONCE = 256
 #: The split pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The last sign of Latin Extended-B.
@@ -184,11 +188,18 @@ def bpe_rows(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            ids = [own.encode(t) for t in texts]
-            right = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(right, pa.bool_())], names=[*batch.schema.names, "token_ids", "decodes"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                flat, ends, right = array("i"), array("i", [0]), []
+                for text in batch.column(at):
+                    text = text.as_py() or ""
+                    ids = own.encode(text)
+                    right.append(own.decode(ids) == text)
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(right, pa.bool_())], names=[*batch.schema.names, "token_ids", "decodes"])
 
     return docs.mapInArrow(run, schema)
 

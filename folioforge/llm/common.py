@@ -14,12 +14,23 @@ from folioforge.shipping import ship
 #: Words are maximal runs of anything but ASCII space and U+0009 to U+000D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
+#: Rows of a batch between the JVM and Python; texts are long, so Spark's default of 10,000 takes much memory.
+ARROW_ROWS = 2048
+
 _written: dict[str, SparkSession] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the operators need of a session: the package in its workers, and batches of bounded size."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,12 +66,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The files go when this Python process ends.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> set[str]:
+    """The tables that ``cut`` has written and that are still there."""
+    return set(_written)
+
+
+def forget(docs: DataFrame, tables: set[str]) -> None:
+    """Delete those of ``tables`` that ``docs`` does not read."""
+    read = "\n".join(docs.inputFiles()) if tables else ""
+    for path in [p for p in tables if p.rsplit("/", 1)[-1] not in read]:
+        tables.discard(path)
+        _delete(path)
+
+
 def text_or_empty(text: str) -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
