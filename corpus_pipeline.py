@@ -7,18 +7,38 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe_codec import bpe_rows
-from folioforge.llm.common import cut, read_table
+from folioforge.llm.common import cut, forget, prepare, read_table, written
 from folioforge.llm.exact_dedup import exact_dedup
 from folioforge.llm.mixing import mixed_documents
 from folioforge.llm.quality_rules import quality_rules
 from folioforge.llm.simhash import simhash_components
 
 
+_made: set[str] = set()
+
+
+def _stage(function):
+    """A stage that drops what earlier stages wrote for themselves: their results are written by now."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        forget(docs, _made)
+        before = written()
+        out = function(spark, docs, sf_dir)
+        _made.update(written() - before)
+        return out
+
+    return run_stage
+
+
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a stable row number, which tells apart rows that repeat."""
     return cut(docs.withColumn("_row", F.monotonically_increasing_id()), name)
@@ -29,18 +49,21 @@ def _only(numbered: DataFrame, rows: DataFrame) -> DataFrame:
     return numbered.join(rows.select(F.col("row").alias("_row")).hint("shuffle_hash"), "_row", "left_semi").drop("_row")
 
 
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules(docs, trusted).where("_quality.kept").select(*docs.columns)
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
     numbered = _numbered(docs, "pipeline-copies")
     return _only(numbered, exact_dedup(numbered, keep="largest", row_col="_row").where("kept"))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component, the row with the least id."""
     numbered = _numbered(docs, "pipeline-near")
@@ -49,12 +72,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _only(numbered, first.select("first.row"))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; where it takes a part, that part."""
     mixed = mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row."""
     return bpe_rows(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -402,9 +402,10 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(20, 50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = table
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, now, str(tmp_path)).cache()
+        after = stage(spark, now, str(tmp_path))
         assert after.columns == table.columns, name
-        now = after
+        after.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
     texts = [r.text for r in now.collect()]
     assert texts and all(len(WORDS.findall(t)) for t in texts)
     out = corpus_pipeline.run(spark, str(tmp_path))
