@@ -86,6 +86,13 @@ def forget(docs: DataFrame, tables: set[str]) -> None:
         _delete(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the tables written by ``cut`` that ``df`` reads; for tables whose every use is written already."""
+    read = "\n".join(df.inputFiles())
+    for path in [p for p in _written if p.rsplit("/", 1)[-1] in read]:
+        _delete(path)
+
+
 def text_or_empty(text: str) -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

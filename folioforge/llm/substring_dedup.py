@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, text_or_empty
+from folioforge.llm.common import cut, discard, text_or_empty
 
 #: Words of an anchor.
 ANCHOR = 5
@@ -217,14 +217,19 @@ def substring_dedup(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, id_
     named = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("sign"), "text")
     index = cut(named.mapInArrow(_index(window, anchor), "id long, sign long, anchor long, block long, first int, windows int"), "substring-index")
 
-    kinds = index.groupBy("anchor", "block").agg(F.count("*").alias("n"))
-    anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    known = cut(kinds.join(anchors, "anchor").select("anchor", "block", (F.col("n") > 1).alias("again"), (F.col("kinds") > 1).alias("mixed")), "substring-known")
-    verdicts = index.join(known, ["anchor", "block"]).select("id", "sign", F.struct("first", "windows", "again", "mixed").alias("v"))
+    # Most anchors occur once and go here; of the others, most have equal blocks all over, so few need counts by block.
+    anchors = cut(index.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("mixed")).where("n > 1").select("anchor", "mixed"), "substring-anchors")
+    shared = cut(index.join(anchors, "anchor"), "substring-shared")
+    discard(index)
+    mixed = shared.where("mixed")
+    kinds = mixed.groupBy("anchor", "block").agg((F.count("*") > 1).alias("again"))
+    plain = shared.where("NOT mixed").withColumn("again", F.lit(True))
+    verdicts = plain.unionByName(mixed.join(kinds, ["anchor", "block"])).select("id", "sign", F.struct("first", "windows", "again", "mixed").alias("v"))
     of_doc = verdicts.groupBy("id", "sign").agg(F.collect_set("v").alias("found")).select(F.col("id").alias("_id"), F.col("sign").alias("_sign"), "found")
 
     same = named["id"].eqNullSafe(of_doc["_id"]) & (named["sign"] == of_doc["_sign"])
     parsed = cut(named.join(of_doc.hint("shuffle_hash"), same, "left").select("id", "sign", "text", "found").mapInArrow(_parse(window), _PARSED), "substring-parsed")
+    discard(shared)
 
     tried = parsed.select("id", "sign", F.explode("tried").alias("t")).select("id", "sign", "t.*")
     again = tried.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo")
