@@ -222,7 +222,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, id_
     shared = cut(index.join(anchors, "anchor"), "substring-shared")
     discard(index)
     mixed = shared.where("mixed")
-    kinds = mixed.groupBy("anchor", "block").agg((F.count("*") > 1).alias("again"))
+    # Written first, so that the join has two plain exchanges and a hot block's rows can be split.
+    kinds = cut(mixed.groupBy("anchor", "block").agg((F.count("*") > 1).alias("again")), "substring-kinds")
     plain = shared.where("NOT mixed").withColumn("again", F.lit(True))
     verdicts = plain.unionByName(mixed.join(kinds, ["anchor", "block"])).select("id", "sign", F.struct("first", "windows", "again", "mixed").alias("v"))
     of_doc = verdicts.groupBy("id", "sign").agg(F.collect_set("v").alias("found")).select(F.col("id").alias("_id"), F.col("sign").alias("_sign"), "found")
