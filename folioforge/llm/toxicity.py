@@ -5,7 +5,9 @@ after the two before it. A written word is a lattice: a digit or sign may stand
 letters that look like it, signs inside a word may be padding, a letter that repeats may be
 meant once or twice, and letters spaced apart may be one word. Viterbi decoding takes
 the path that is likeliest under model and channel. A word of letters without a
-threefold letter has just one path, itself, so it is not decoded. The restored
+threefold letter has just one path, itself, so it is not decoded. Signs at the ends of such a
+word may be punctuation or look-alikes: it is read without them and, where one may stand
+for a letter, with them too. The restored
 text is scored by a logistic model on the presence of words and of word
 beginnings; features and weights are learned from a bounded sample of labelled rows.
 
@@ -46,6 +48,8 @@ for _i, _c in enumerate(LETTERS):
 _SEPARATES = np.isin(np.arange(256), list(b" .*_-"))
 _OF = {c: i + 1 for i, c in enumerate(LETTERS)}
 _EDGE = "".join(PADDING) + "\"!?()[]{}<>|@$+"
+#: Signs that may stand for letters or be punctuation.
+_SIGNS = "".join(x for x in LOOKS if x in _EDGE)
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]){3,}[^\W_](?!\S)")
 
@@ -122,6 +126,17 @@ class Restorer:
             self._memo[word] = made
         return made
 
+    @staticmethod
+    def readings(word: str, core: str) -> set[str]:
+        """The word with the signs at each end taken to be letters: none, the innermost, or all."""
+        lo = word.index(core)
+        hi = lo + len(core)
+        left = max((word.rfind(x, 0, lo) for x in _SIGNS), default=-1)
+        right = min((k for x in _SIGNS if (k := word.find(x, hi)) >= 0), default=-1)
+        begins = {lo, left, 0} if left >= 0 else {lo}
+        ends = {hi, right + 1, len(word)} if right >= 0 else {hi}
+        return {word[a:b] for a in begins for b in ends} - {core}
+
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
         low = text.lower()
@@ -132,6 +147,7 @@ class Restorer:
         if len(signs) >= 7 and (gap[1:-5] & gap[3:-3] & gap[5:-1] & ~gap[:-6] & ~gap[2:-4] & ~gap[4:-2]).any():
             for run in _SPACED.finditer(low):
                 found.add(self.decode(re.sub(r"[ .*_-]", "", run.group())))
+        signed = any(x in low for x in _SIGNS)
         for word in set(low.split()):
             core = word if word.isalpha() else word.strip(_EDGE)
             if core.isalpha() and not (triple and _TRIPLE.search(core)):
@@ -140,6 +156,8 @@ class Restorer:
                 found.add(self.decode(word))
                 if core != word and core:
                     found.add(self.decode(core))
+            if signed and core and core != word:
+                found.update(self.decode(x) for x in self.readings(word, core))
         found.discard("")
         return found
 

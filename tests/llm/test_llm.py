@@ -394,6 +394,14 @@ def test_deobfuscation(spark):
     assert "idiot" in own.words("such an i d i o t here")
 
 
+def test_deobfuscation_of_signs_at_the_ends(spark):
+    docs = spark.createDataFrame([(i, "you stupid idiot is a clown and scum or rash and such an ass") for i in range(30)], "doc_id long, text string")
+    own = toxicity.Restorer(toxicity.language_model(docs))
+    for written, meant in [("$tupid", "stupid"), ("$cum", "scum"), ("!diot", "idiot"), ("+rash", "trash"), ("(lown", "clown"), ("idio+", "idiot"), ('"$tupid!"', "stupid"), ("($tup1d)", "stupid"), ("(a$$)", "ass")]:
+        assert meant in own.words(f"such a {written} here"), written
+    assert {"idiot", "clown", "stupid"} <= own.words("(idiot) clown! $stupid$")
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
