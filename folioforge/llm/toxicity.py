@@ -2,9 +2,9 @@
 
 A character language model, counted over all documents, gives the chance of each letter
 after the two before it. A written word is a lattice: a digit or sign may stand for
-letters that look like it, signs inside a word may be padding, a letter that repeats may be
-meant once or twice, and letters spaced apart may be one word. Viterbi decoding takes
-the path that is likeliest under model and channel. A word of letters without a
+letters that look like it, signs inside a word may be padding, and a letter that repeats may
+be meant once or twice. A run of short pieces spaced apart is one lattice, in which each
+gap is dropped or parts two words. Viterbi decoding takes the path that is likeliest under model and channel. A word of letters without a
 threefold letter has just one path, itself, so it is not decoded. Signs at the ends of such a
 word may be punctuation or look-alikes: it is read without them and, where one may stand
 for a letter, with them too. The restored
@@ -21,8 +21,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,17 @@ SIZE = len(LETTERS) + 1
 _CODE = np.zeros(256, np.int64)
 for _i, _c in enumerate(LETTERS):
     _CODE[ord(_c)] = _i + 1
-_SEPARATES = np.isin(np.arange(256), list(b" .*_-"))
-_OF = {c: i + 1 for i, c in enumerate(LETTERS)}
+_OF = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": 0}
+#: Log chances that a gap in a run parts words, from likely to never; each gives a reading.
+PARTED = (3.0, 0.0, -2.0, -4.0, -1e9)
+#: Signs of pieces; all others part them. A question mark stands for what is not in Latin-1.
+_PIECE = np.isin(np.arange(256), list((LETTERS + "".join(LOOKS) + "?").encode("latin-1")))
+#: Most signs of a piece that is not one sign repeated, and least pieces of a run.
+SHORT, LEAST_PIECES = 2, 3
 _EDGE = "".join(PADDING) + "\"!?()[]{}<>|@$+"
 #: Signs that may stand for letters or be punctuation.
 _SIGNS = "".join(x for x in LOOKS if x in _EDGE)
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]){3,}[^\W_](?!\S)")
 
 
 def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,30 +107,102 @@ class Restorer:
             out.append(ways)
         return out
 
-    def decode(self, word: str) -> str:
-        """The likeliest letters behind a written word."""
-        if (known := self._memo.get(word)) is not None:
-            return known
-        model, best = self._model, {(0, 0): (0.0, "")}
-        for ways in self.lattice(word):
+    @classmethod
+    def spaced_lattice(cls, run: str) -> list[list[tuple[str, float]] | None]:
+        """The lattice of pieces with a blank between; None is a gap, which is dropped or parts words."""
+        out: list[list[tuple[str, float]] | None] = []
+        pieces = run.split(" ")
+        for k, piece in enumerate(pieces):
+            if k:
+                out.append(None)
+            one = piece == piece[0] * len(piece)
+            if len(piece) <= SHORT and piece[0] in _OF and piece[-1] in _OF:
+                found = [[(piece, ITSELF)]]
+            else:
+                found = cls.lattice(piece)
+            if not one:  # signs beside a letter may be punctuation
+                for ways, sign in zip(found, piece if len(found) > 1 else "", strict=False):
+                    if sign in _SIGNS:
+                        ways.append(("", DROPPED))
+            elif k and pieces[k - 1][0] == piece[0] and cls._repeats(pieces, k):
+                found[0].append(("", RUN * len(piece)))
+            out += found
+        return out
+
+    @staticmethod
+    def _repeats(pieces: list[str], k: int) -> bool:
+        """Whether the piece goes on a row of three or more of one sign."""
+
+        def same(j: int) -> bool:
+            return 0 <= j < len(pieces) and pieces[j] == pieces[k][0] * len(pieces[j])
+
+        return same(k - 1) and (same(k - 2) or same(k + 1))
+
+    def _likeliest(self, lattice: list[list[tuple[str, float]] | None], parted: float = 0.0) -> str:
+        model, gap = self._model, [(" ", parted), ("", ITSELF)]
+        best: dict = {(0, 0): (0.0, None)}
+        for ways in lattice:
             after: dict = {}
-            for (a, b), (value, text) in best.items():
-                for letters, cost in ways:
+            for (a, b), (value, path) in best.items():
+                for letters, cost in ways or gap:
                     x, y, v = a, b, value + cost
                     for c in letters:
                         z = _OF[c]
                         v += model[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or after[x, y][0] < v:
-                        after[x, y] = (v, text + letters)
+                        after[x, y] = (v, (path, letters) if letters else path)
             best = after
-        made = max((v + model[a][b][0], text) for (a, b), (v, text) in best.items())[1]
+        path = max(((v + model[a][b][0], path) for (a, b), (v, path) in best.items()), key=lambda x: x[0])[1]
+        parts = []
+        while path:
+            path, letters = path
+            parts.append(letters)
+        return "".join(reversed(parts))
+
+    def _keep(self, word: str, made: str) -> str:
         if len(word) <= 40:
             if len(self._memo) > 100_000:
                 self._memo.clear()
             self._memo[word] = made
         return made
 
+    def decode(self, word: str) -> str:
+        """The likeliest letters behind a written word."""
+        if (known := self._memo.get(word)) is not None:
+            return known
+        return self._keep(word, self._likeliest(self.lattice(word)))
+
+    def decode_spaced(self, run: str) -> set[str]:
+        """The words of all readings of pieces with a blank between."""
+        if (made := self._memo.get(run)) is None:
+            lattice = self.spaced_lattice(run)
+            made = self._keep(run, " ".join([self._likeliest(lattice, x) for x in PARTED]))
+        return set(made.split())
+
+    @staticmethod
+    def spaced(low: str, signs: np.ndarray) -> Iterator[str]:
+        """The runs of short pieces of a text, and in each those of single letters, with a blank between pieces."""
+        piece = _PIECE[signs]
+        edge = np.flatnonzero(np.diff(piece, prepend=False, append=False))
+        begins, ends = edge[::2], edge[1::2]
+        if len(begins) < LEAST_PIECES:
+            return
+        equal = np.concatenate([[0, 0], np.cumsum(signs[1:] == signs[:-1])])
+        one = equal[ends] - equal[begins + 1] == ends - begins - 1
+        short = one | (ends - begins <= SHORT)
+        other = np.concatenate([[0], np.cumsum(signs == ord("?"))])
+        short &= other[ends] == other[begins]
+        if not (short[:-2] & short[1:-1] & short[2:]).any():
+            return
+        change = np.flatnonzero(np.diff(short, prepend=False, append=False))
+        for lo, hi in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
+            if hi - lo >= LEAST_PIECES:
+                pieces = [low[a:b] for a, b in zip(begins[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
+                yield " ".join(pieces)
+                inner = [list(g) for single, g in groupby(pieces, key=lambda p: p == p[0] * len(p)) if single]
+                yield from (" ".join(g) for g in inner if LEAST_PIECES <= len(g) < len(pieces))
+
     @staticmethod
     def readings(word: str, core: str) -> set[str]:
         """The word with the signs at each end taken to be letters: none, the innermost, or all."""
@@ -143,10 +220,13 @@ class Restorer:
         signs = np.frombuffer(low.encode("latin-1", "replace"), np.uint8)
         triple = bool(((signs[:-2] == signs[1:-1]) & (signs[1:-1] == signs[2:]) & (_CODE[signs[2:]] > 0)).any())
         found = set()
-        gap = _SEPARATES[signs]  # letters spaced apart: three separators in turn
-        if len(signs) >= 7 and (gap[1:-5] & gap[3:-3] & gap[5:-1] & ~gap[:-6] & ~gap[2:-4] & ~gap[4:-2]).any():
-            for run in _SPACED.finditer(low):
-                found.add(self.decode(re.sub(r"[ .*_-]", "", run.group())))
+        apart = low.replace("?", " ")
+        codes = apart.encode("latin-1", "replace")
+        if b"?" in codes:
+            apart = re.sub(r"\s", " ", apart)
+            codes = apart.encode("latin-1", "replace")
+        for run in self.spaced(apart, np.frombuffer(codes, np.uint8)):
+            found.update(self.decode_spaced(run))
         signed = any(x in low for x in _SIGNS)
         for word in set(low.split()):
             core = word if word.isalpha() else word.strip(_EDGE)

@@ -402,6 +402,21 @@ def test_deobfuscation_of_signs_at_the_ends(spark):
     assert {"idiot", "clown", "stupid"} <= own.words("(idiot) clown! $stupid$")
 
 
+def test_deobfuscation_of_spaced_runs(spark):
+    docs = spark.createDataFrame([(i, "you stupid moron is a stupid idiot and such scum is a clown to be in an ass of it") for i in range(30)], "doc_id long, text string")
+    own = toxicity.Restorer(toxicity.language_model(docs))
+    cases = [
+        ("s t u p i d m o r o n", "stupid moron"), ("a s c u m", "a scum"), ("i d ! o t", "idiot"), ("$ c u m", "scum"), ("s t u p ! d", "stupid"),
+        ("s  t  u  p  i  d", "stupid"), ("m\to\tr\to\tn", "moron"), ("c\nl\no\nw\nn", "clown"), ("a s s", "ass"), ("s t u u u p i d", "stupid"),
+        ("i i i d i 0 t", "idiot"), ("1 d 1 0 7", "idiot"), ("s, t, u, p, i, d", "stupid"), ("(s t u p i d) m-o-r-o-n", "stupid moron"), ("st u p id", "stupid"),
+    ]
+    for written, meant in cases:
+        assert set(meant.split()) <= own.words(f"such {written} clown"), written
+    plain = own.words("is it to be in an")
+    assert {"is", "it", "to", "be", "in", "an"} <= plain and plain.isdisjoint(["stupid", "moron", "idiot", "scum", "clown", "ass"])
+    assert len(own.words("a " * 4000)) <= 5
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
