@@ -159,9 +159,12 @@ def t10(spark, sf_dir):
 
 @_query("t18_footnotes")
 def t18(spark, sf_dir):
-    """References and notes that link to each other, in pages made of blocks; the parser has no SQL."""
-    b = blocks(spark, sf_dir).where("block_index = 0").select(F.col("book_id").alias("page_id"), F.concat(F.lit("<p id=a>see <a href='#b'>1</a></p><p id=b><a href='#a'>1</a> "), X.xml_escaped(F.col("text")), F.lit("</p>")).alias("html"))
-    return footnote_pairs(html_blocks(b))
+    """References and notes that link to each other, in a page made of each block; the parser has no SQL."""
+    b = blocks(spark, sf_dir).withColumn("id", F.concat_ws("/", "book_id", "block_index"))
+    page = F.concat(F.lit("<p id=a>see <a href='#b'>1</a></p><p id=b><a href='#a'>1</a> "), X.xml_escaped(F.col("text")), F.lit("</p>"))
+    part = lambda k: F.split_part("id", F.lit("/"), F.lit(k)).cast("long")
+    pairs = footnote_pairs(html_blocks(b.select("id", page.alias("html")), "id"), "id")
+    return pairs.select(part(1).alias("book_id"), part(2).alias("block_index"), "seq", "to_seq", "marker")
 
 
 @_query("t20_source_ranges", f"WITH {BLOCKS_SQL} SELECT book_id, node, 0::BIGINT AS start, char_length AS past FROM blocks")

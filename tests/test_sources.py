@@ -85,3 +85,11 @@ def test_footnotes(spark):
     pages = spark.createDataFrame([(1, "<p id=a>see <a href='#b'>1</a></p><p id=b><a href='#a'>1</a> note</p><p id=c><a href='#a'>2</a></p>")], "page_id long, html string")
     got = html.footnote_pairs(html.html_blocks(pages)).collect()
     assert [(r.seq, r.to_seq, r.marker) for r in got] == [(0, 1, "1")]
+
+
+def test_footnotes_of_every_block(spark, tmp_path):
+    from folioforge.plans.source_queries import t18
+
+    spark.createDataFrame([(1, "one\n\ntwo <b> & c\nthree"), (2, "four"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(map(tuple, t18(spark, str(tmp_path)).collect()))
+    assert [r[:2] for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0)] and {r[2:] for r in rows} == {(0, 1, "1")}
