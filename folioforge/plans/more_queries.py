@@ -101,11 +101,14 @@ def g25(spark, sf_dir):
 
 @_query("g27_selection")
 def g27(spark, sf_dir):
-    """Pieces of a selection as one, spaced only between letters and digits; the fold has no SQL."""
-    l = F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(30)).alias("t"))))  # noqa: E741
-    ends = lambda s, p: F.regexp_like(s, F.lit(p))
-    step = lambda out, x: F.concat(out, F.when(ends(out, r"[\p{L}\p{N}]$") & ends(x["t"], r"^[\p{L}\p{N}]"), " ").otherwise(""), x["t"])
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.aggregate(l, F.lit(""), step).alias("quote"))
+    """Pieces of a selection as one, spaced only between letters and digits; it has no SQL."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    ends = lambda s, p: F.coalesce(F.regexp_like(s, F.lit(p)), F.lit(False))
+    before = F.last(F.when(F.col("text") != "", F.right("text", F.lit(1))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = F.concat(F.when(ends(before, r"[\p{L}\p{N}]") & ends(F.col("text"), r"^[\p{L}\p{N}]"), " ").otherwise(""), "text")
+    pieces = table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(w).alias("n"), t.alias("t"))
+    l = F.sort_array(F.collect_list(F.struct("n", "t")))  # noqa: E741
+    return pieces.groupBy("conv_id").agg(F.when(F.count("t") == F.count("*"), F.array_join(F.transform(l, lambda x: x["t"]), "")).alias("quote"))
 
 
 @_query("c01_normal_path", "SELECT page_id, regexp_replace(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '^/+|/+$', '', 'g') AS path FROM pages")

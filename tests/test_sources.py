@@ -93,3 +93,12 @@ def test_footnotes_of_every_block(spark, tmp_path):
     spark.createDataFrame([(1, "one\n\ntwo <b> & c\nthree"), (2, "four"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = sorted(map(tuple, t18(spark, str(tmp_path)).collect()))
     assert [r[:2] for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0)] and {r[2:] for r in rows} == {(0, 1, "1")}
+
+
+def test_selection_takes_whole_texts(spark, tmp_path):
+    from folioforge.plans.more_queries import g27
+
+    long = "word " * 20 + "end"
+    rows = [(1, 2, "9."), (1, 0, long), (1, 1, ""), (1, 3, "a\n"), (1, 4, "b"), (2, 0, long), (2, 1, "é"), (3, 0, ""), (4, 0, None), (4, 1, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert dict(map(tuple, g27(spark, str(tmp_path)).collect())) == {1: f"{long} 9.a\nb", 2: f"{long} é", 3: "", 4: None}
