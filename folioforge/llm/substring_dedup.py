@@ -1,15 +1,14 @@
-"""Substring dedup by relative Lempel-Ziv parsing over an index of anchored blocks.
+"""Substring dedup by counts of anchored blocks.
 
 Every window of ``window`` words has one anchor: the least of its ``anchor``-word hashes,
 the leftmost if equal. Equal windows have equal anchors, wherever they stand. The
 consecutive windows with one anchor span a block, and the blocks of all documents
-are the reference: an index from (anchor, hash of the block) to how often it occurs. A
-document is parsed greedily from left to right, block by block. A block that occurs
-elsewhere word for word continues the factor, so all its windows are duplicates; a block
-whose anchor occurs nowhere else ends it, and none of its windows can be a duplicate. Where a
-block's anchor is known but its words differ, a factor of one document begins or ends inside
-the block of another: only at such boundaries are single windows compared, by
-128-bit hashes, among the blocks with that anchor.
+are an index from (anchor, hash of the block) to how often it occurs. A block that occurs
+elsewhere word for word has only duplicate windows; one whose anchor occurs nowhere else
+has none. Where a block's anchor is known but its words differ, single windows are
+compared, by 128-bit hashes, among the blocks with that anchor. This stands in place of a
+greedy relative Lempel-Ziv parse: no factor is extended from left to right, and none
+has a position or a length.
 
 Hot anchors, of a passage in a third of all rows, are counted with partial sums
 before each shuffle and joined by sort-merge joins that split; no group is gathered.
