@@ -13,8 +13,10 @@ lies beyond two such tokens, so the joined ids are those of the whole. Leaves an
 the seams of a level do not depend on each other and go through a thread pool;
 tiktoken's core releases the interpreter's lock.
 
-Defined cases: null text counts as empty and gives no ids; rows are independent,
-so ties, repeated rows and extra columns play no part; texts have no length limit.
+Defined cases: null text counts as empty and gives no ids; null ids stay null; rows are
+independent, so ties, repeated rows and extra columns play no part, and an empty table gives an
+empty result; texts have no length limit. Where a result's column has a name that the input has
+already, it gets underscores before it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from folioforge.llm.common import text_or_empty
+from folioforge.llm.common import free_name, text_or_empty
 
 #: Bytes of the longest unsplit part that is encoded in one go, and of a leaf.
 LONG, LEAF = 512, 256
@@ -183,7 +185,8 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
 def bpe_rows(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, then ``token_ids`` and ``decodes``: whether the ids decode to the text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())])
+    named = [free_name(docs, x) for x in ("token_ids", "decodes")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(named[0], T.ArrayType(T.IntegerType())), T.StructField(named[1], T.BooleanType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +202,7 @@ def bpe_rows(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> Da
                     flat.extend(ids)
                     ends.append(len(flat))
                 lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(right, pa.bool_())], names=[*batch.schema.names, "token_ids", "decodes"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(right, pa.bool_())], names=[*batch.schema.names, *named])
 
     return docs.mapInArrow(run, schema)
 
@@ -212,4 +215,4 @@ def bpe_texts(encoded: DataFrame, tokenizer_path: str, ids_col: str = "token_ids
         own = codec(tokenizer_path)
         return ids.map(lambda x: None if x is None else own.decode(list(x)))
 
-    return encoded.select("*", decode(ids_col).alias("decoded_text"))
+    return encoded.select("*", decode(f"`{ids_col}`").alias(free_name(encoded, "decoded_text")))

@@ -16,15 +16,19 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 #: Rows of a batch between the JVM and Python; texts are long, so Spark's default of 10,000 takes much memory.
 ARROW_ROWS = 2048
+_SPARKS_ROWS = "10000"
 
 _written: dict[str, SparkSession] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the operators need of a session: the package in its workers, and batches of bounded size."""
+    """What the operators need of a session: the package in its workers, and batches of bounded size.
+
+    The size of batches is set only where the session has Spark's own default; a size that a caller chose stays.
+    """
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+    if spark.conf.get(key) == _SPARKS_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
@@ -35,9 +39,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else one for local tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, else, in local mode only, one for tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints/folioforge"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -73,17 +79,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> set[str]:
-    """The tables that ``cut`` has written and that are still there."""
-    return set(_written)
+class dropping(contextlib.AbstractContextManager):  # noqa: N801 - read like a function
+    """Deletes, at its end, the tables that ``cut`` wrote inside, but for those of frames given to ``keep``.
 
+    For a caller that has written what it made of them; frames of other callers are left alone.
+    """
 
-def forget(docs: DataFrame, tables: set[str]) -> None:
-    """Delete those of ``tables`` that ``docs`` does not read."""
-    read = "\n".join(docs.inputFiles()) if tables else ""
-    for path in [p for p in tables if p.rsplit("/", 1)[-1] not in read]:
-        tables.discard(path)
-        _delete(path)
+    def __enter__(self) -> dropping:
+        self._before = set(_written)
+        self._kept = ""
+        return self
+
+    def keep(self, df: DataFrame) -> None:
+        self._kept += "\n".join(df.inputFiles())
+
+    def __exit__(self, *_) -> None:
+        for path in [p for p in _written if p not in self._before and p.rsplit("/", 1)[-1] not in self._kept]:
+            _delete(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (names do not differ by case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def discard(df: DataFrame) -> None:
@@ -95,7 +115,7 @@ def discard(df: DataFrame) -> None:
 
 def text_or_empty(text: str) -> Column:
     """The text column with null as the empty string."""
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
 
 def words_of(text: Column) -> Column:

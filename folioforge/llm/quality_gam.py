@@ -9,9 +9,11 @@ found for a whole batch of documents by binning and indexing.
 The model learns from at most ``SAMPLE`` labelled documents, the ones with the least hashes of
 their ids; the forest of tables has a fixed size, so it is fitted on the driver.
 
-Defined cases: null and empty texts have all features 0 and are scored like any other;
-rows with null ids count as held out; labels without documents, and rows that repeat, are
-taken as they are; without any labels every score is 0.5.
+Defined cases: null and empty texts have all features 0 and are scored like any other; a very
+long text is scored as a whole; rows with null ids count as held out; labels without documents,
+and rows that repeat, are taken as they are; of ties in the order of the sample, all rows are equal;
+extra columns play no part, whatever their names; an empty table gives an empty result; without
+any labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -166,9 +168,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text, label`` of at most ``sample`` labelled rows that may be learned from."""
-    chosen = labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample)
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col("_id").alias("doc_id"), text_or_empty(text_col).alias("text"), "label")
+    chosen = labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,5 +196,5 @@ def score(docs: DataFrame, model: Gam, threshold: float = 0.3, id_col: str = "do
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(feature_matrix(batch.column(2))))], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

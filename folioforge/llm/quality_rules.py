@@ -7,9 +7,11 @@ weight for each bucket, log p_trusted - log p_corpus. A document's score is the
 mean weight of its n-grams, so length cancels; at or above a fixed threshold it
 is kept. Everything on this path is built from Spark's own expressions.
 
-Defined cases: null text has no words; a text without n-grams scores 0; extra
-columns play no part and rows that repeat are judged alike; an empty corpus or
-an empty trusted set gives weights of 0.
+Defined cases: null text has no words; a text without n-grams scores 0; a null id is
+never trusted, and its row is judged like any other; a very long text is one row and is
+judged as a whole; extra columns play no part, whatever their names, and rows that repeat
+are judged alike; a score equal to the threshold is kept; an empty corpus gives an empty
+result, and an empty trusted set gives weights of 0.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import text_or_empty, words_of
+from folioforge.llm.common import free_name, text_or_empty, words_of
 
 #: Runs of letters, digits and underscores; runs of anything else but white space.
 TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SYMBOLS = "#*$%&|<>"
-#: Trusted ids are sent to all executors up to this number of rows (8 bytes each), else joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Trusted ids are counted first and sent to all executors up to this number (some 100 bytes each, so 10 MB),
+#: else they meet the documents in a join that sorts and may spill.
+BROADCAST_IDS = 100_000
 
 
 def let(value: Column, body) -> Column:
@@ -80,11 +83,13 @@ def ngram_buckets(text: Column, buckets: int) -> Column:
     return let(hashes, lambda h: F.concat(F.transform(h, put), pairs(h)))
 
 
-def _flag_trusted(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
-    ids = trusted.select(F.col(id_col).alias("_trusted_id")).where("_trusted_id IS NOT NULL").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    ids = F.broadcast(ids) if few else ids.hint("shuffle_hash")
-    return docs.join(ids, docs[id_col] == ids["_trusted_id"], "left").select(docs["*"], F.col("_trusted_id").isNotNull().alias("_trusted"))
+def _flag_trusted(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``text`` of all documents, and whether their ids are ``trusted``."""
+    ids = trusted.select(F.col(id_col).alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = F.broadcast(ids) if few else ids.hint("merge")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    return own.join(ids, own["id"] == ids["trusted_id"], "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, prior: float) -> list[float]:
@@ -93,9 +98,9 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: s
     ``prior`` is the number of n-grams that each bucket is taken to have in common,
     which pulls rare buckets to 0. The result has ``buckets`` numbers at any corpus size.
     """
-    flagged = _flag_trusted(docs.select(id_col, text_col), trusted, id_col)
-    grams = flagged.select("_trusted", F.explode(ngram_buckets(text_or_empty(text_col), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("_trusted").alias("good")).collect()
+    flagged = _flag_trusted(docs, trusted, id_col, text_col)
+    grams = flagged.select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good")).collect()
     all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     weights = [0.0] * buckets
     if all_good:
@@ -108,7 +113,8 @@ def quality_rules(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets: int = 16384, prior: float = 8.0, threshold: float = -0.1, min_words: int = 20, max_repeat_percent: int = 30,
 ) -> DataFrame:
-    """All columns of ``docs`` and a struct ``_quality`` of measures, ``base_failed``, ``llr`` and ``kept``.
+    """All columns of ``docs``, then a struct ``_quality`` (with underscores before it if that is taken) of measures,
+    ``base_failed``, ``llr`` and ``kept``.
 
     ``trusted`` holds the ids of the trusted documents; the target multinomial is counted over all of them.
     """
@@ -124,6 +130,7 @@ def quality_rules(
             ((s["m"]["n_words"] < min_words) | (100 * s["m"]["n_repeat_words"] > max_repeat_percent * s["m"]["n_words"])).alias("base_failed"),
         ),
     )
-    flat = [F.col("_judged")["s"][x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr")]
+    inner = free_name(docs, "_judged")
+    flat = [F.col(inner)["s"][x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr")]
     judged = let(measured, lambda s: F.struct(s.alias("s"), (~s["base_failed"] & (s["llr"] >= threshold)).alias("kept")))
-    return docs.select("*", judged.alias("_judged")).select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*flat, F.col("_judged")["kept"].alias("kept")).alias("_quality"))
+    return docs.select("*", judged.alias(inner)).select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*flat, F.col(inner)["kept"].alias("kept")).alias(free_name(docs, "_quality")))

@@ -19,7 +19,7 @@ from folioforge.llm import quality_gam, token_coder, toxicity
 from folioforge.llm.bpe_codec import Codec, bpe_digests, bpe_rows, bpe_texts
 from folioforge.llm.components import components
 from folioforge.llm.exact_dedup import exact_dedup
-from folioforge.llm.mixing import mix_counts, mixed_blocks, mixed_documents, permuted, shard_counts, targets
+from folioforge.llm.mixing import group_counts, mix_counts, mixed_blocks, mixed_documents, permuted, shard_counts, targets
 from folioforge.llm.quality_rules import quality_rules
 from folioforge.llm.secret_scan import BASE, secret_scan
 from folioforge.llm.simhash import Balls, bucket_links, simhash_components
@@ -183,11 +183,26 @@ def test_targets_share_the_excess():
 
 def test_shards_agree_without_each_other():
     quota = np.array([70, 5, 33])
-    whole = list(shard_counts(quota, 11, 10, 0, 11, 3))
-    assert sum(c for _, c, _ in whole).tolist() == quota.tolist()
-    for k in range(11):
-        (shard, counts, offsets), = shard_counts(quota, 11, 10, k, k + 1, 3)
-        assert shard == k and counts.tolist() == whole[k][1].tolist() and offsets.tolist() == whole[k][2].tolist()
+    parts = [group_counts(quota, k, 4) for k in range(4)]
+    assert sum(c for c, _ in parts).tolist() == quota.tolist()
+    assert all((np.abs(c - quota / 4) < 1).all() for c, _ in parts)
+    for k, (counts, offsets) in enumerate(parts):
+        assert offsets.tolist() == sum((c for c, _ in parts[:k]), np.zeros(3, int)).tolist()
+        whole = list(shard_counts(counts, 10, (3, k)))
+        assert sum(c for _, c, _ in whole).tolist() == counts.tolist()
+        assert [int(c.sum()) for _, c, _ in whole] == [min(10, int(counts.sum()) - 10 * i) for i in range(len(whole))]
+        for i, (shard, _, before) in enumerate(whole):
+            assert shard == i and before.tolist() == sum((c for _, c, _ in whole[:i]), np.zeros(3, int)).tolist()
+
+
+def test_mix_is_the_same_on_any_layout(spark, docs):
+    def both(df):
+        counts = sorted(map(str, mix_counts(df, block_words=8, shard_slots=64).collect()))
+        return counts, sorted(map(str, mixed_documents(df, block_words=8, shard_slots=64).collect())), sorted(map(str, mixed_blocks(df, block_words=8, shard_slots=64).collect()))
+
+    one = both(docs.coalesce(1))
+    assert one == both(docs.repartition(7)) == both(docs.repartition(40))
+    assert sum("..." not in x for x in one[0]) == len(rows())
 
 
 @settings(max_examples=30, deadline=None)
