@@ -227,6 +227,34 @@ def test_coder_finds_damage():
         token_coder.decode(bytes(record[:-40]))
 
 
+def test_coder_beats_entropy_and_zlib():
+    """On text-like ids (words of several ids, drawn by a power law) the record is below order-0 entropy and zlib."""
+    r = np.random.default_rng(3)
+    words = [r.integers(0, 40_000, r.integers(1, 5)) for _ in range(3000)]
+    drawn = np.minimum(r.zipf(1.2, 150_000) - 1, len(words) - 1)
+    ids = np.concatenate([words[k] for k in drawn]).astype(np.uint32)
+    record = token_coder.encode(ids, 49_408)
+    assert token_coder.decode(record).tolist() == ids.tolist()
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert len(record) < -(share * np.log2(share)).sum() * len(ids) / 8
+    assert len(record) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+
+
+def test_blocks_of_a_record_stand_alone():
+    ids = np.random.default_rng(4).integers(0, 90, 5000).astype(np.uint32)
+    whole = token_coder.encode(ids, 100, 2000)
+    parts = [token_coder.encode(ids[k : k + 2000], 100, 2000) for k in range(0, 5000, 2000)]
+    assert whole[24:] == b"".join(p[24:] for p in parts)
+
+
+def test_word_encoder_of_other_settings():
+    for text in ("Some text, in ONE  piece", "", "a" * 700, "<|endoftext|> x"):
+        own = np.frombuffer(WordEncoder(BYTE).encode(text), np.uint32).tolist()
+        assert own == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+        own = np.frombuffer(WordEncoder(WORD).encode(text), np.uint32).tolist()
+        assert own == Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
+
+
 def test_token_file(docs, empty):
     tok = Tokenizer.from_file(WORD)
     got = sorted(token_digests(docs, WORD, record_ids=500).collect(), key=lambda r: r.start)
