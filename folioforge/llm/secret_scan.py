@@ -1,19 +1,21 @@
 """Secret scan by corpus-wide ownership frequency, from Spark's own expressions only.
 
-Three base patterns give spans that always stay. Beside them, any long run of
-mixed letters and digits is a candidate. The values of all candidates, base ones too, are
-hashed and counted over the whole corpus: in how many distinct repositories and owners
-does a value occur? A value of many owners is an example that people copy; a value of
-one owner, with the look of a credential, is taken for live. Live candidates that no base
-span touches are added as spans of the kind ``owned``; the verdict on base spans is
+Three base patterns give spans that always stay. Beside them, long runs of letters and
+digits, values behind the prefixes of known issuers, and quoted values are candidates if they
+have the look of a credential: letters, three digits, and eight different signs. The values of all
+candidates, base ones too, are hashed and counted over the whole corpus: in how many distinct
+repositories and owners does a value occur? A value of many owners, or of many repositories
+whoever owns them, is an example that people copy; any other is taken for live. Live candidates that
+no base span touches are added as spans of the kind ``owned``; the verdict on base spans is
 given as counts.
 
 Positions come from cutting the text at the pattern: a match starts after all pieces and
 matches before it. They count code points; ends are exclusive.
 
-Defined cases: null text counts as empty; a null owner or repository is one like any other;
-rows that repeat are one owner's; null ids keep their row; extra columns play no part; an
-empty table gives an empty result.
+Defined cases: null text counts as empty; a very long text is scanned as a whole; a null owner or
+repository is one like any other; rows that repeat are one owner's; null ids keep their row; extra
+columns play no part, whatever their names; a value with just as many owners or repositories as an
+example needs is one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ BASE = (
 #: Cheap tests that hold for every text with a match that counts.
 _MAY_HAVE = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
 ADDED = "owned"
-#: A maximal run of the signs of credentials.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Prefixes that issuers put before their keys (fixed values).
+PREFIXES = ("sk", "pk", "rk", "ghp", "gho", "ghu", "ghs", "ghr", "glpat", "xoxa", "xoxb", "xoxp", "xoxr", "xoxs", "npm", "pypi", "hf")
+#: A prefixed value, a maximal run of the signs of credentials, or a quoted value.
+CANDIDATE = rf"""(?<![A-Za-z0-9+/_=-])(?:(?:{"|".join(PREFIXES)})[_-][A-Za-z0-9_-]{{12,}}|[A-Za-z0-9+/_=-]{{16,}})|(?<=["'])[^"'\s]{{12,}}(?=["'])"""
+LEAST = 12
 
 
 def sums_before(lengths: Column) -> Column:
@@ -73,8 +78,10 @@ def spans(text: Column, pattern: str, group: int, least: int, rank: int, may_hav
     return F.when(F.regexp_like(text, F.lit(may_have or pattern)), let(matches, made)).otherwise(none)
 
 
-def _live(value: Column) -> Column:
-    return F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Z]")) & F.regexp_like(value, F.lit("[a-z]"))
+def _looks_secret(value: Column) -> Column:
+    """Letters, three digits and eight different signs; where there is a slash, as in paths, letters of both cases."""
+    has = lambda p: F.regexp_like(value, F.lit(p))
+    return has("[A-Za-z]") & has("(?:[0-9][^0-9]*){3}") & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & (~has("/") | (has("[A-Z]") & has("[a-z]")))
 
 
 def _joined(found: Column) -> Column:
@@ -83,17 +90,17 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(kinds, x["rank"]), x["start"], x["end"])), ",")
 
 
-def secret_scan(docs: DataFrame, repository: list[str], owner: str, id_col: str = "doc_id", text_col: str = "text", example_owners: int = 3) -> DataFrame:
+def secret_scan(docs: DataFrame, repository: list[str], owner: str, id_col: str = "doc_id", text_col: str = "text", example_owners: int = 3, example_repositories: int = 6) -> DataFrame:
     """Per row ``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` and counts of live and example values.
 
-    ``repository`` and ``owner`` name columns; a value of at least ``example_owners`` owners is an example,
-    a value of fewer is its owners' own.
+    ``repository`` and ``owner`` name columns; a value of at least ``example_owners`` owners, or of at least
+    ``example_repositories`` repositories, is an example; any other is its owners' own.
     """
     text = text_or_empty(text_col)
     base = F.sort_array(F.concat(*[spans(text, pattern, group, least, rank, _MAY_HAVE.get(kind)) for rank, (kind, pattern, group, least) in enumerate(BASE)]))
-    other = F.filter(spans(text, CANDIDATE, 0, 20, len(BASE), None), lambda x: _live(x["value"]))
+    other = F.filter(spans(text, CANDIDATE, 0, LEAST, len(BASE), None), lambda x: _looks_secret(x["value"]))
     scanned = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.to_json(F.struct(*repository)).alias("repository"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{owner}`").cast("string").alias("owner"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in repository])).alias("repository"),
         let(F.struct(base.alias("base"), other.alias("other")), lambda s: F.struct(
             s["base"].alias("base"),
             F.filter(s["other"], lambda c: ~F.exists(s["base"], lambda b: (c["start"] < b["end"]) & (c["end"] > b["start"]))).alias("other"),
@@ -107,7 +114,7 @@ def secret_scan(docs: DataFrame, repository: list[str], owner: str, id_col: str
     by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     frequency = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     judged = candidates.select("rid", "start", "rank", "end", "hash").join(frequency, "hash")
-    example = F.col("owners") >= example_owners
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
     verdicts = judged.groupBy("rid").agg(
         F.collect_list(F.when((F.col("rank") == len(BASE)) & ~example, F.struct("start", "rank", "end"))).alias("added"),
         F.count_if(~example).alias("n_live"), F.count_if(example).alias("n_example"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
