@@ -11,9 +11,12 @@ for a letter, with them too. The restored
 text is scored by a logistic model on the presence of words and of word
 beginnings; features and weights are learned from a bounded sample of labelled rows.
 
-Defined cases: null and empty texts are scored by the model's base rate; rows with null ids
-count as held out; rows that repeat are scored alike; without labels of both kinds every
-score is the share of label 1 (0 if there are none).
+Defined cases: null and empty texts are scored by the model's base rate; a very long text is scored
+as a whole, and a very long unbroken run is decoded with back-pointers, in time and memory that grow
+with its length; rows with null ids count as held out; rows that repeat are scored alike; of paths
+of equal chance the first found stays; extra columns play no part, whatever their names; an empty
+table gives an empty result; without labels of both kinds every score is the share of label 1 (0
+if there are none).
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import held_out, text_or_empty
+from folioforge.llm.common import cut, free_name, held_out, text_or_empty
 from folioforge.llm.quality_gam import training_rows
 
 #: Most labelled documents, and most features, that the classifier learns from.
@@ -302,7 +305,7 @@ def fit_weights(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, size: int,
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
     """Count the letters over all documents, then learn from a bounded sample of labelled ones."""
     letters = language_model(docs, text_col)
-    rows = training_rows(docs, labels, label, sample, id_col, text_col)
+    rows = cut(training_rows(docs, labels, label, sample, id_col, text_col), "toxicity-sample")  # read three times
     sums = rows.groupBy("label").count().collect()
     by = {r["label"]: r["count"] for r in sums}
     pos, neg = by.get(1, 0), by.get(0, 0)
@@ -327,7 +330,7 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.5, id_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([model.score(restorer, t.as_py()) for t in batch.column(2)], pa.float64())], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -339,4 +342,4 @@ def restored(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFr
         own = Restorer(model.letters)
         return texts.map(lambda t: sorted(own.words(t)))
 
-    return docs.select("*", run(text_or_empty(text_col)).alias("_restored"))
+    return docs.select("*", run(text_or_empty(text_col)).alias(free_name(docs, "_restored")))
