@@ -125,4 +125,4 @@ def words_of(text: Column) -> Column:
 
 def held_out(id_column: str) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
-    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -11,7 +11,13 @@ prefix and hash of a partition.
 Defined cases: null text counts as empty; rows that repeat (same id, same text)
 are separate members of a group and just one of them stays; null ids never
 win over real ones, and in a group with null ids only one row stays and
-``keep_id`` is null; an empty table gives an empty result.
+``keep_id`` is null; very long texts are hashed and compared in full, only the sampled keys
+are short; extra columns play no part, whatever their names; an empty table gives an empty result.
+
+A partition holds the text and the ids of one run of equal texts at a time (more where hashes
+collide), so memory is bounded by the longest text and by the rows that the splitters leave in a partition;
+they fall inside runs, so a run has no more of them than a partition has rows. Equality inside a
+partition is by full comparison, across partitions by SHA-256.
 """
 
 from __future__ import annotations
@@ -117,7 +123,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``row_col`` names a column of longs that goes along, to tell rows with equal ids apart.
     """
     largest = {"largest": True, "smallest": False}[keep]
-    local = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("norm"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")).mapInArrow(
+    local = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("norm"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")).mapInArrow(
         normalise_and_group, "norm string, lead long, members array<long>, rows array<long>"
     )
     keyed = local.withColumn("key", F.concat(F.substring("norm", 1, PREFIX), F.lpad(F.hex(F.xxhash64("norm")), 16, "0")))

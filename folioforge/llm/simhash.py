@@ -17,8 +17,9 @@ the least of those keeps each connection with fewer links than members, never al
 
 Defined cases: null text has no words and fingerprint zero, which links like any
 other; null ids get a fingerprint and the component of their text, and are never a
-component's id unless all its ids are null; rows that repeat are one more member;
-an empty table gives an empty result.
+component's id unless all its ids are null; rows that repeat are one more member; a bit
+set in exactly half of the hashes is 0; a very long text is hashed as a whole, its bits counted in
+parts; extra columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``doc_id, row, fp`` for each row; ``fp`` holds the 64 bits as a long, ``row`` what ``row_col`` has or null."""
     row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row, text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(_fingerprint, "doc_id long, row long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row, text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(_fingerprint, "doc_id long, row long, fp long")
 
 
 class Balls:

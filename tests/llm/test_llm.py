@@ -21,9 +21,9 @@ from folioforge.llm.components import components
 from folioforge.llm.exact_dedup import exact_dedup
 from folioforge.llm.mixing import group_counts, mix_counts, mixed_blocks, mixed_documents, permuted, shard_counts, targets
 from folioforge.llm.quality_rules import quality_rules
-from folioforge.llm.secret_scan import BASE, secret_scan
+from folioforge.llm.secret_scan import BASE, CANDIDATE, secret_scan
 from folioforge.llm.simhash import Balls, bucket_links, simhash_components
-from folioforge.llm.substring_dedup import substring_dedup
+from folioforge.llm.substring_dedup import duplicate_factors, factors, substring_dedup
 from folioforge.llm.token_file import WordEncoder, token_digests
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,6 +148,35 @@ def test_widely_copied_values_are_examples(spark):
     assert got[0] == ("", 0, 1) and got[9] == ("owned:4:25", 1, 0)
 
 
+def looks_secret(v):
+    return bool(re.search("[A-Za-z]", v)) and sum(c in "0123456789" for c in v) >= 3 and len(set(v)) >= 8 and ("/" not in v or bool(re.search("[A-Z]", v) and re.search("[a-z]", v)))
+
+
+def test_owned_spans_by_brute_force(spark):
+    """Planted live and copied values of many shapes, in several repositories and owners."""
+    live = ["sk_live_4f9aQ27bXz01", "Zx9Kq2Lm8Pw4Rt6Yv1Bn3", "glpat-8Hs7Ky31Qw90aa", "9f8e7d6c5b4a39281706"]
+    copied = ["EXAMPLE0key1value2", "sk_test_0000abcdef123"]
+    repos = ["many1repos2value3x"]
+    plain = ["a/path/to/file/0123456", "internationalisation", "1234567890123456", "AAAAAAAAAAAAAAAA1111"]
+    rows_ = [(i, f"see {v} here and '{v[:6]}q7w8e9r{i}' too", f"o{i % 2}", "r0") for i, v in enumerate(live)]
+    rows_ += [(100 + i, f"say {v}.", f"o{i % 4}", "r1") for v in copied for i in range(4)]
+    rows_ += [(200 + i, f"say {v}.", "o7", f"r{i}") for v in repos for i in range(7)]
+    rows_ += [(300 + i, f"no {v} here", "o1", "r1") for i, v in enumerate(plain)]
+    rows_ = [(k, *r[1:]) for k, r in enumerate(rows_)]
+    docs_ = spark.createDataFrame(rows_, "doc_id long, text string, own string, repo string")
+    got = {r.doc_id: r.spans for r in secret_scan(docs_, ["own", "repo"], "own").collect()}
+    pattern, where = re.compile(CANDIDATE), {}
+    for _, text, own, repo in rows_:
+        for m in pattern.finditer(text):
+            if looks_secret(m.group()):
+                where.setdefault(m.group(), set()).add((own, repo))
+    for k, text, *_ in rows_:
+        live_ = [m for m in pattern.finditer(text) if m.group() in where and len({o for o, _ in where[m.group()]}) < 3 and len(where[m.group()]) < 6]
+        assert got[k] == ",".join(f"owned:{m.start()}:{m.end()}" for m in live_), text
+    assert all(any(text[int(x.split(":")[1]) : int(x.split(":")[2])] == v for k, text, *_ in rows_ for x in got[k].split(",") if x) for v in live)
+    assert not any(got[k] for k, text, *_ in rows_ if any(v in text for v in copied + repos + plain))
+
+
 def test_positions_of_many_matches(spark):
     text = " ".join(f"é token={'v' * (6 + i % 5)}{i}" for i in range(300))
     got = secret_scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"), ["source"], "source").first()
@@ -392,6 +421,27 @@ def test_substring_dedup_at_factor_boundaries(spark):
     assert [got[i] for i in range(len(texts))] == removed(texts, 10)
 
 
+def test_factors_of_a_greedy_parse(spark):
+    block = lambda first, windows, ref_id, ref_first: {"first": first, "windows": windows, "ref_id": ref_id, "ref_first": ref_first}
+    chain = [block(9, 4, 1, 30), block(5, 4, 1, 26), block(13, 2, 1, 40), block(20, 3, 2, 0), block(23, 3, 2, 3)]
+    assert factors(chain, 10) == [(5, 17, 1, 26), (13, 11, 1, 40), (20, 15, 2, 0)]
+    assert factors([], 10) == []
+
+    a = [f"a{i}" for i in range(200)]
+    texts = [a, ["x", "y", "z", *a[20:90], "q"], ["u", *a[60:130]], ["v"] * 5]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {}
+    for r in duplicate_factors(df, 10).collect():
+        assert r.length >= 10 and texts[r.doc_id][r.start : r.start + r.length] == texts[r.ref_id][r.ref_start : r.ref_start + r.length]
+        found.setdefault(r.doc_id, []).append((r.start, r.length, r.ref_id, r.ref_start))
+    # A passage of one document is one factor, up to the blocks at its ends.
+    (start, length, ref, at), = found[1]
+    assert ref == 0 and at - start == 17 and start <= 12 and start + length >= 64
+    (start, length, ref, at), = found[2]
+    assert ref == 0 and at - start == 59 and length >= 50
+    assert 3 not in found
+
+
 def labelled(spark, n=400):
     r = random.Random(5)
     clean = ["the", "of", "and", "river", "stone", "walks", "under", "tree"]
