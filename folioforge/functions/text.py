@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 TERMINALS = ".!?。！？…‥"
 #: Symbols that stand for a list item by themselves (fixed values).
 BULLETS = "•·●○▪‣◦∙"
+#: Languages written in Latin letters, and in others (fixed values).
+LATIN_LANGUAGES = (
+    "af", "ca", "cs", "cy", "da", "de", "en", "es", "et", "eu", "fi", "fr", "ga", "gd", "gl", "hr", "hu", "id", "is", "it",
+    "lt", "lv", "ms", "mt", "nl", "no", "pl", "pt", "ro", "sk", "sl", "sq", "sv", "sw", "tr", "vi",
+)
+OTHER_LANGUAGES = ("ar", "be", "bg", "el", "fa", "he", "hi", "mk", "ru", "sr", "th", "uk", "ur")
 #: Code point ranges of CJK scripts, as a regular expression class (fixed values).
 CJK = "\\x{1100}-\\x{11ff}\\x{2e80}-\\x{2fff}\\x{3040}-\\x{30ff}\\x{3130}-\\x{318f}\\x{31a0}-\\x{31ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}\\x{f900}-\\x{faff}\\x{20000}-\\x{2fa1f}"
 
@@ -108,15 +114,13 @@ def writing_system(language: Column, title: Column) -> Column:
     subtags = F.split(tag, "-")
     rest = F.slice(subtags, 2, 99)
     first = F.element_at(subtags, 1)
-    latin = "af ca cs cy da de en es et eu fi fr ga gd gl hr hu id is it lt lv ms mt nl no pl pt ro sk sl sq sv sw tr vi".split()
-    other = "ar be bg el fa he hi mk ru sr th uk ur".split()
     by_tag = (
         F.when(first.isin("", "und"), F.lit(None))
         .when(F.exists(rest, lambda s: s.isin("hans", "hant", "jpan", "kore")), "cjk")
         .when(F.array_contains(rest, "latn"), "latin")
         .when(first.isin("zh", "ja", "ko"), "cjk")
-        .when(first.isin(*latin), "latin")
-        .when(first.isin(*other), "other")
+        .when(first.isin(*LATIN_LANGUAGES), "latin")
+        .when(first.isin(*OTHER_LANGUAGES), "other")
     )
     count = lambda p: F.length(F.regexp_replace(title, f"[^{p}]", ""))
     c, n = count(CJK), count(r"\p{IsLatin}")
@@ -147,21 +151,46 @@ def normal_path(path: Column) -> Column:
     return F.when(~bad & (F.size(stack) > 0), F.array_join(stack, "/"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a lambda variable that holds ``value``, which is so computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each member of an array of integers the sum of those before it.
+
+    The array is summed in blocks of about its square root, so that no array grows member by member: the work
+    is n to the power 1.5 in the worst case and needs no shuffle.
+    """
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def of(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        firsts = F.sequence(F.lit(0), F.size(a) - 1, width)
+        within = lambda block: F.transform(block, lambda _, i: total(F.slice(block, F.lit(1), i)))
+        blocks = lambda: F.transform(firsts, lambda f: F.slice(a, f + 1, width))
+        return let(blocks(), lambda b: let(F.transform(b, total), lambda sums: F.flatten(F.transform(b, lambda block, k: let(total(F.slice(sums, F.lit(1), k)), lambda base: F.transform(within(block), lambda x: x + base))))))
+
+    return let(numbers, lambda a: F.when(F.size(a) == 0, a).otherwise(of(a)))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """An array of ``start, end, matched`` (code points, end exclusive) of leftmost non-overlapping matches.
 
-    A match starts after all pieces and matches before it, so a fold over both gives positions.
+    A match starts after all pieces and matches before it, so sums of their lengths give positions.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("matched"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,matched:string>>").alias("out"))
+    empty = F.array().cast("array<struct<start:int,end:int,matched:string>>")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["piece"])
-        end = start + F.length(x["matched"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["matched"].alias("matched")))).alias("out"))
+    def placed(m: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), lambda x: F.length(x))
+        steps = lambda g: F.zip_with(g, m, lambda n, x: n + F.length(x))
+        begins = lambda g: F.zip_with(sums_before(steps(g)), g, lambda s, n: s + n)
+        return let(gaps, lambda g: F.zip_with(begins(g), m, lambda s, x: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), x.alias("matched"))))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, empty, step)["out"]).otherwise(empty["out"])
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(found, placed)).otherwise(empty)
 
 
 def excerpt(text: Column, start: Column, end: Column, context: int = 72) -> Column:

@@ -38,7 +38,8 @@ def merge_annotations(versions: DataFrame) -> DataFrame:
 
     A version that is behind the current one is ignored, one that is ahead replaces it. Of two
     concurrent ones the later timestamp wins; the other stays as a copy under an id of its own if it is live, not
-    itself a copy, and the id is free. The outcome depends on arrival order, so each id is folded in sequence.
+    itself a copy, and the id is free: copies are synced too, so one may have come in before. The outcome
+    depends on arrival order, so an annotation and its copies are folded together in sequence.
     """
     schema = "id string, clock map<string,long>, wall long, counter long, device string, deleted boolean, conflict_of string, note string"
     columns = ["id", "clock", "wall", "counter", "device", "deleted", "conflict_of", "note"]
@@ -61,10 +62,10 @@ def merge_annotations(versions: DataFrame) -> DataFrame:
             elif less and more:
                 stamp = lambda r: (r["wall"], r["counter"], r["device"])
                 winner, loser = (row, now) if stamp(row) > stamp(now) else (now, row)
-                copy = f"{loser['id']}~conflict~{loser['device']}~{loser['wall']}-{loser['counter']}"
+                copy = f"{loser['id']}~conflict~{loser['device']}~{loser['wall']}-{loser['counter']}"  # form of copies' ids (fixed value)
                 if not loser["deleted"] and loser["conflict_of"] is None and copy not in state:
                     state[copy] = {**loser, "id": copy, "conflict_of": row["id"]}
                 state[row["id"]] = winner
         return pd.DataFrame([{c: r[c] for c in columns} for r in state.values()], columns=columns)
 
-    return versions.groupBy("id").applyInPandas(fold, schema)
+    return versions.groupBy(F.coalesce("conflict_of", "id").alias("origin")).applyInPandas(fold, schema)

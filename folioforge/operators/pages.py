@@ -2,75 +2,107 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import TERMINALS
 
-_HYPHENS = "-‐‑­"
-_PLAIN = re.compile(r"^(?!#{1,6}\s|[-*+]\s|\d+[.)]\s|>|```|\||!\[|<)")
+#: Signs that split a word at a line's end, and signs that may close a sentence after its terminal (fixed values).
+HYPHENS = "-‐‑­"
+CLOSING = "”’\"')）]】"
+#: What a Markdown paragraph does not begin with: headings, items, quotes, fences, rules, markup, tables.
+NOT_PARAGRAPH = r"^(?:#{1,6}(?:\s|$)|[-*+]\s|\d{1,9}[.)]\s|>|```|~~~|<[A-Za-z/!?]|(?:[-*_][ \t]*){3,}$)|\n *(?:=+|-+) *(?:\n|$)|\|[^\n]*\n[ \t]*[|:-][-|: \t]*-[-|: \t]*(?:\n|$)"
+#: What a plain one does not have inside: images, markup that is no address, display formulas.
+NOT_PLAIN = r"!\[[^\]\n]*\]\(|<(?:[A-Za-z][A-Za-z0-9-]*(?:[\s/>])|/|!--)|\$\$[^$]+\$\$"
+CODE_TICKS = r"`[^`\n]*`"
 
 
-def should_join(tail: str, head: str) -> bool:
-    """Whether a page's last paragraph goes on as the next page's first."""
-    tail, head = tail.rstrip(), head.lstrip()
-    if not tail or not head or not _PLAIN.match(tail.lstrip()) or not _PLAIN.match(head):
-        return False
-    if tail[-1] in _HYPHENS:
-        return True
-    end = tail.rstrip("”’\"')）]】")[-1:]
-    if end == ".":
-        return head[0].islower()
-    return bool(end) and end not in TERMINALS
+def page_blocks(markdown: Column) -> Column:
+    """The trimmed, non-blank blocks of a page, which blank lines part."""
+    parts = F.split(F.replace(markdown, F.lit("\r\n"), F.lit("\n")), "\n\n")
+    return F.filter(F.transform(parts, lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
 
 
-def joined(tail: str, head: str) -> str:
-    """One paragraph of two: a hyphen goes, a space comes between ASCII letters and digits."""
-    tail, head = tail.rstrip(), head.lstrip()
-    if tail[-1] in _HYPHENS:
-        return tail[:-1] + head
-    space = " " if tail[-1].isascii() and tail[-1].isalnum() and head[0].isascii() and head[0].isalnum() else ""
-    return tail + space + head
+def is_plain(block: Column) -> Column:
+    """Whether a block is a paragraph of text only."""
+    return ~F.regexp_like(block, F.lit(NOT_PARAGRAPH)) & ~F.regexp_like(F.regexp_replace(block, CODE_TICKS, ""), F.lit(NOT_PLAIN))
 
 
-def joined_pages(pages: DataFrame) -> DataFrame:
-    """``book_id, page, markdown`` with cut paragraphs on the page where they begin.
+def goes_on(tail: Column, head: Column) -> Column:
+    """Whether a page's last paragraph goes on as the next page's first.
 
-    What a page gives away is gone before it is looked at as the end of the next pair, so a book is
-    scanned in order: one group a book.
+    A hyphen always does; a full stop does before a small letter; other terminals do not; all else does.
     """
+    end = F.right(F.regexp_replace(tail, f"[{''.join(chr(92) + c if c in ')]' else c for c in CLOSING)}]+$", ""), F.lit(1))
+    by_end = F.when(end == "", False).when(end == ".", F.regexp_like(head, F.lit(r"^\p{Ll}"))).otherwise(~end.isin(*TERMINALS))
+    return is_plain(tail) & is_plain(head) & (F.right(tail, F.lit(1)).isin(*HYPHENS) | by_end)
 
-    def scan(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values("page").reset_index(drop=True)
-        parts = [[b.strip() for b in m.replace("\r\n", "\n").split("\n\n") if b.strip()] for m in book["markdown"]]
-        for here, after in zip(parts, parts[1:], strict=False):
-            if here and after and should_join(here[-1], after[0]):
-                here[-1] = joined(here[-1], after.pop(0))
-        book["markdown"] = ["\n\n".join(p) for p in parts]
-        return book
 
-    return pages.select("book_id", "page", F.coalesce("markdown", F.lit("")).alias("markdown")).groupBy("book_id").applyInPandas(scan, "book_id long, page long, markdown string")
+def joined_text(tail: Column, head: Column) -> Column:
+    """One paragraph of two: a hyphen goes, a space comes between ASCII letters and digits."""
+    hyphen = F.right(tail, F.lit(1)).isin(*HYPHENS)
+    spaced = F.regexp_like(tail, F.lit("[A-Za-z0-9]$")) & F.regexp_like(head, F.lit("^[A-Za-z0-9]"))
+    return F.when(hyphen, F.concat(F.left(tail, F.length(tail) - 1), head)).otherwise(F.concat(tail, F.when(spaced, " ").otherwise(""), head))
 
 
-def line_groups(lines: DataFrame, indent: float = 1.5, gap: float = 1.6) -> DataFrame:
-    """``page, line, group`` of lines ``page, line, x, y, w, h, text``.
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """``book_id, page, markdown`` with cut paragraphs on the page where they begin; pages with a ``role`` stay apart.
 
-    A line goes on with a paragraph if it is near the line before, of like height, and not indented
-    against the paragraph's first line; so the scan of a page depends on where its groups began.
+    Whether two pages meet depends on their own blocks alone, but for a page of one block: once that went
+    to the page before, there is nothing left to go on. So in a run of such pages every second seam
+    holds, counted from the last page that settles it, and two windows say which.
+    """
+    w = Window.partitionBy("book_id").orderBy("page")
+    b = pages.select("book_id", "page", "role", page_blocks(F.coalesce("markdown", F.lit(""))).alias("b")).withColumn("n", F.row_number().over(w))
+    head = F.get(F.lead("b").over(w), F.lit(0))
+    tail = F.when(F.size("b") > 0, F.get("b", F.size("b") - 1))
+    fits = F.coalesce(F.col("role").isNull() & F.lead("role").over(w).isNull() & head.isNotNull() & goes_on(tail, head), F.lit(False))
+    b = b.withColumn("head", head).withColumn("fits", fits).withColumn("settled", ~(F.col("fits") & (F.size("b") == 1)))
+    last = lambda c: F.last(F.when(F.col("settled"), F.col(c)), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    odd = (F.col("n") - F.coalesce(last("n"), F.lit(0))) % 2 == 1
+    b = b.withColumn("joins", F.coalesce(last("fits"), F.lit(False)) != odd)
+    b = b.withColumn("gave", F.coalesce(F.lag("joins").over(w), F.lit(False)))
+    own = F.when(F.col("gave"), F.slice("b", 2, F.greatest(F.size("b") - 1, F.lit(0)))).otherwise(F.col("b"))
+    longer = F.concat(F.slice("own", 1, F.greatest(F.size("own") - 1, F.lit(0))), F.array(joined_text(F.get("own", F.size("own") - 1), F.col("head"))))
+    return b.withColumn("own", own).select("book_id", "page", F.array_join(F.when(F.col("joins"), longer).otherwise(F.col("own")), "\n\n").alias("markdown"))
+
+
+def line_groups(lines: DataFrame) -> DataFrame:
+    """``page, line, group`` of lines ``page, line, x, y, w, h, text`` in paragraphs.
+
+    Lines of a paragraph follow each other closely, are of like height, and overlap or begin near each
+    other; none begins far inside its first line, or is much wider than a narrow start, and a numbered heading is
+    alone. What a line and the one before it say is found by a window; the rest depends on where the
+    paragraph began, so a page is scanned in order: one group a page.
     """
+    w = Window.partitionBy("page").orderBy("line")
+    before = {c: F.lag(c).over(w) for c in ("x", "y", "w", "h", "text")}
+    tall = F.greatest(before["h"], F.col("h"), F.lit(1.0))
+    step, gap = F.col("y") - before["y"], F.col("y") - (before["y"] + before["h"])
+    even = F.least(before["h"], F.col("h")) / tall >= 0.68
+    stub = (F.length("text") < 20) & (F.col("w") < before["w"] * 0.35) & (F.length(before["text"]) > 40)
+    overlap = F.least(before["x"] + before["w"], F.col("x") + F.col("w")) - F.greatest(before["x"], F.col("x"))
+    beside = (overlap / F.greatest(F.least(before["w"], F.col("w")), F.lit(1.0)) >= 0.35) | (F.abs(F.col("x") - before["x"]) <= tall * 2.5)
+    near = (step > tall * 0.25) & (gap <= tall * 0.45) & even & ~stub & beside
+    number = F.get(F.filter(F.split("text", r"\s+"), lambda t: t != ""), F.lit(0))
+    heading = (F.length("text") < 80) & F.contains(number, F.lit(".")) & F.regexp_like(number, F.lit(r"^[0-9.]+$"))
+    rows = lines.select("page", "line", "x", "w", tall.alias("tall"), before["w"].alias("w_before"), F.coalesce(near, F.lit(False)).alias("near"), F.coalesce(heading, F.lit(False)).alias("heading"))
 
     def scan(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["line", "y", "x"]).reset_index(drop=True)
-        groups, group, first, last = [], -1, None, None
+        page = page.sort_values("line").reset_index(drop=True)
+        groups, group, first, size = [], -1, None, 0
         for row in page.itertuples():
-            same = last is not None and abs(row.h - last.h) <= 0.35 * max(row.h, last.h) and 0 <= row.y - last.y <= gap * max(row.h, last.h) and row.x - first.x <= indent * row.h and not (last.text or "").rstrip().endswith(tuple(":："))
-            if not same:
-                group, first = group + 1, row
+            starts = first is None or not row.near or first.heading
+            if not starts:
+                inside = row.x > first.x + 2.5 * row.tall
+                outside = row.x + 4.0 * row.tall < first.x and row.w > 1.25 * first.w
+                wider = size > 1 and row.w > 1.35 * first.w and row.w_before < 0.8 * row.w
+                starts = inside or outside or wider
+            if starts:
+                group, first, size = group + 1, row, 0
             groups.append(group)
-            last = row
+            size += 1
         return pd.DataFrame({"page": page["page"], "line": page["line"], "group": groups})
 
-    return lines.groupBy("page").applyInPandas(scan, "page long, line long, group long")
+    return rows.groupBy("page").applyInPandas(scan, "page long, line long, group long")

@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A contents tree is never deeper; the loop over levels ends before that when a level is empty.
-MOST_LEVELS = 64
+from folioforge.storage import kept
+
+#: Rounds of pointer doubling: a chain of 2 to that power entries; more are a circle.
+MOST_ROUNDS = 40
 
 
 def flattened(toc: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``id, label, path, depth, ancestors, has_children`` of an adjacency table ``id, parent, ord, label``.
 
-    ``path`` numbers the siblings of each level, joined by slashes. One join a level: the depth of the tree
-    bounds the loop, not its size.
+    ``path`` numbers the siblings of each level, joined by slashes. Every entry knows its way to an ancestor,
+    first its parent; each round joins the ancestor's own way to it, which doubles its length. So a tree of depth d
+    takes log d rounds, each written before the next. A circle of parents is an error; entries whose
+    parent is missing are no part of the tree.
     """
     keys = keys or []
     w = Window.partitionBy(*keys, "parent").orderBy("ord", "id")
-    rows = toc.withColumn("_n", F.row_number().over(w) - 1)
     parents = toc.where("parent IS NOT NULL").select(*keys, F.col("parent").alias("id")).distinct().withColumn("has_children", F.lit(True))
-    rows = rows.join(parents, [*keys, "id"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
-    level = rows.where("parent IS NULL").select(*keys, "id", "label", F.col("_n").cast("string").alias("path"), F.lit(0).cast("long").alias("depth"), F.array().cast("array<string>").alias("ancestors"), "has_children")
-    out = level
-    for _ in range(MOST_LEVELS):
-        up = level.select(*keys, F.col("id").alias("parent"), F.col("path").alias("_path"), (F.col("depth") + 1).alias("depth"), F.concat("ancestors", F.array("path")).alias("ancestors"))
-        level = rows.join(up, [*keys, "parent"]).select(*keys, "id", "label", F.concat_ws("/", "_path", F.col("_n").cast("string")).alias("path"), "depth", "ancestors", "has_children")
-        if level.isEmpty():
+    rows = toc.withColumn("_n", (F.row_number().over(w) - 1).cast("string")).join(parents, [*keys, "id"], "left")
+    rows = rows.select(*keys, "id", "label", F.coalesce("has_children", F.lit(False)).alias("has_children"), F.array("_n").alias("_way"), F.col("parent").alias("_up"))
+    for _ in range(MOST_ROUNDS):
+        rows = kept(rows, "tree-ways")
+        if rows.where("_up IS NOT NULL").isEmpty():
             break
-        out = out.union(level)
-    return out
+        above = rows.select(*keys, F.col("id").alias("_up"), F.col("_way").alias("_above"), F.col("_up").alias("_next"))
+        rows = rows.where("_up IS NULL").unionByName(
+            rows.where("_up IS NOT NULL").join(above, [*keys, "_up"]).select(*keys, "id", "label", "has_children", F.concat("_above", "_way").alias("_way"), F.col("_next").alias("_up"))
+        )
+    else:
+        raise ValueError("the parents of a tree go in a circle")
+    ancestors = F.transform(F.filter(F.sequence(F.lit(1), F.size("_way")), lambda k: k < F.size("_way")), lambda k: F.array_join(F.slice("_way", F.lit(1), k), "/"))
+    return rows.select(*keys, "id", "label", F.array_join("_way", "/").alias("path"), (F.size("_way") - 1).cast("long").alias("depth"), ancestors.alias("ancestors"), "has_children")
 
 
 def parents_from_depths(rows: DataFrame, key: str, order: str, depth: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.storage import kept
+
 
 def last_entry_at(points: DataFrame, entries: DataFrame, key: str, point: str, start: str, order: str) -> DataFrame:
     """For each point of a key, the greatest ``order`` of the entries that start at or before it, as ``entry``.
@@ -38,22 +41,25 @@ def greedy_groups(lengths: Column, most: int, most_rows: int | None = None, afte
 
     An over-long member is a group of its own. With ``most_rows`` a group has no more members; with
     ``after`` a group also closes once it has reached a budget. The sum starts anew with each group, which no
-    window frame can say, so this is a fold over the ordered array of a key's lengths.
+    window frame can say, so this is one pass over the ordered array of a document's lengths.
     """
-    state = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("rows"), F.lit(True).alias("open"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["rows"] > 0) & (s["sum"] + x > most)
-        if most_rows:
-            full = full | (s["rows"] >= most_rows)
-        new = s["open"] | full
-        group = s["group"] + new.cast("int")
-        total = F.when(new, x).otherwise(s["sum"] + x).cast("long")
-        rows = F.when(new, 1).otherwise(s["rows"] + 1)
-        closed = (total >= most) | (rows >= most_rows) if after and most_rows else F.lit(False)
-        return F.struct(group.alias("group"), total.alias("sum"), rows.alias("rows"), closed.alias("open"), F.concat(s["out"], F.array(group)).alias("out"))
+    @F.pandas_udf("array<int>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: _greedy(a, most, most_rows, after))
+
+    return run(lengths)
+
 
-    return F.aggregate(lengths, state, step)["out"]
+def _greedy(lengths, most: int, most_rows: int | None, after: bool) -> list[int]:
+    out, group, total, rows, opens = [], -1, 0, 0, True
+    for x in lengths.tolist():
+        if opens or (rows and total + x > most) or (most_rows and rows >= most_rows):
+            group, total, rows = group + 1, 0, 0
+        total, rows = total + x, rows + 1
+        opens = after and (total >= most or bool(most_rows) and rows >= most_rows)
+        out.append(group)
+    return out
 
 
 def grouped(rows: DataFrame, key: str, order: str, length: str, most: int, most_rows: int | None = None, after: bool = False) -> DataFrame:
@@ -68,11 +74,37 @@ def toc_depths(entries: Column) -> Column:
 
     A numbered top entry on the page of an unnumbered top entry right before it becomes its child.
     """
-    state = F.struct(F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("page"), F.lit(False).alias("numbered"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        child = (x["depth"] == 0) & (s["depth"] == 0) & (x["page"] == s["page"]) & ~s["numbered"] & x["numbered"]
-        depth = F.when(s["depth"] < 0, 0).when(child, 1).otherwise(F.least(x["depth"].cast("int"), s["depth"] + 1))
-        return F.struct(depth.alias("depth"), x["page"].alias("page"), x["numbered"].alias("numbered"), F.concat(s["out"], F.array(depth)).alias("out"))
+    @F.pandas_udf("array<int>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(_nested)
+
+    return run(F.transform(entries, lambda x: F.struct(x["depth"].cast("long").alias("depth"), x["page"].cast("long").alias("page"), x["numbered"].alias("numbered"))))
+
 
-    return F.aggregate(entries, state, step)["out"]
+def _nested(entries) -> list[int]:
+    out, before = [], None
+    for x in entries:
+        if before is None:
+            depth = 0
+        elif x["depth"] == 0 and out[-1] == 0 and x["page"] == before["page"] and x["numbered"] and not before["numbered"]:
+            depth = 1
+        else:
+            depth = min(x["depth"], out[-1] + 1)
+        out.append(depth)
+        before = x
+    return out
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``place``, their number in ``order`` from 1, which no row may share.
+
+    Rows are sorted over range partitions and kept there; a place is the row's number in its partition and the
+    rows of all partitions before it. One number a partition is sent round, and no task sees all rows.
+    """
+    numbered = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = kept(numbered.withColumn("_part", F.shiftright("_at", 33)).withColumn("_n", F.col("_at").bitwiseAND((1 << 33) - 1)), name)
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    bases = sizes.select("_part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    return sorted_.join(F.broadcast(bases), "_part").withColumn("place", F.col("base") + F.col("_n") + 1).drop("_at", "_part", "_n", "base")

@@ -216,8 +216,28 @@ def g02(spark, sf_dir):
     return both.select("user_id", M.clock_order(F.coalesce("a", none), F.coalesce("b", none)).alias("clock_order"))
 
 
+_G03 = """WITH RECURSIVE v AS (
+        SELECT 'a' || user_id AS id, event_id AS seq, event_type AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n, epoch_us(ts) // 1000 AS wall,
+               event_id % 8 AS counter, event_type = 'error' AS deleted, props AS note, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    f AS (SELECT id, rn, k, n, wall, counter, deleted, note, NULL::STRUCT(id VARCHAR, wall BIGINT, counter BIGINT, device VARCHAR, deleted BOOLEAN, note VARCHAR) AS copy FROM v WHERE rn = 1
+    UNION ALL
+    SELECT id, rn, CASE WHEN take THEN k2 ELSE k END, CASE WHEN take THEN n2 ELSE n END, CASE WHEN take THEN wall2 ELSE wall END, CASE WHEN take THEN counter2 ELSE counter END,
+           CASE WHEN take THEN deleted2 ELSE deleted END, CASE WHEN take THEN note2 ELSE note END,
+           CASE WHEN NOT apart OR (CASE WHEN take THEN deleted ELSE deleted2 END) THEN NULL
+                WHEN take THEN {'id': id || '~conflict~' || k || '~' || wall || '-' || counter, 'wall': wall, 'counter': counter, 'device': k, 'deleted': deleted, 'note': note}
+                ELSE {'id': id || '~conflict~' || k2 || '~' || wall2 || '-' || counter2, 'wall': wall2, 'counter': counter2, 'device': k2, 'deleted': deleted2, 'note': note2} END
+    FROM (SELECT f.*EXCLUDE (rn, copy), v.rn, v.k AS k2, v.n AS n2, v.wall AS wall2, v.counter AS counter2, v.deleted AS deleted2, v.note AS note2, v.k <> f.k AS apart,
+                 CASE WHEN v.k = f.k THEN v.n > f.n ELSE (v.wall, v.counter, v.k) > (f.wall, f.counter, f.k) END AS take
+          FROM f JOIN v ON v.id = f.id AND v.rn = f.rn + 1)),
+    last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn DESC) = 1),
+    copies AS (SELECT id AS origin, copy FROM f WHERE copy IS NOT NULL QUALIFY row_number() OVER (PARTITION BY copy.id ORDER BY rn) = 1)
+    SELECT id, wall, counter, k AS device, deleted, NULL::VARCHAR AS conflict_of, note FROM last
+    UNION ALL SELECT copy.id, copy.wall, copy.counter, copy.device, copy.deleted, origin, copy.note FROM copies"""
+
+
+@_query("g03_merge_annotations", _G03)
 def g03(spark, sf_dir):
-    """Annotation versions merged causally; the fold has no SQL."""
+    """Annotation versions merged causally."""
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     v = e.select(
@@ -228,9 +248,6 @@ def g03(spark, sf_dir):
     return M.merge_annotations(v).select("id", "wall", "counter", "device", "deleted", "conflict_of", "note")
 
 
-QUERIES["g03_merge_annotations"] = g03
-
-
 @_query("g04_activity", f"WITH {PROGRESS_SQL} SELECT book_id, max(wall) AS wall FROM progress GROUP BY book_id")
 def g04(spark, sf_dir):
     """When each book was last read."""
@@ -296,11 +313,11 @@ def g15(spark, sf_dir):
     return e.select("event_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (m(5) + (m(3) + (m(4) + 1).cast("double") / 4) / 3) / 5)).alias("total"))
 
 
-@_query("g16_dense_pages", "SELECT u.user_id, g.page, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN range(0, 12) g(page) LEFT JOIN (SELECT user_id, event_id % 40 AS page, count(*) AS n FROM events GROUP BY ALL) e ON e.user_id = u.user_id AND e.page = g.page")
+@_query("g16_dense_pages", "SELECT u.user_id, g.page, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN range(0, 40) g(page) LEFT JOIN (SELECT user_id, event_id % 40 AS page, count(*) AS n FROM events GROUP BY ALL) e ON e.user_id = u.user_id AND e.page = g.page")
 def g16(spark, sf_dir):
     """Every page of a book once, with what is known of it."""
     e = table(spark, sf_dir, "events")
-    pages = e.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("page"))
+    pages = e.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("page"))
     known = e.groupBy("user_id", F.pmod("event_id", F.lit(40)).alias("page")).agg(F.count("*").alias("n"))
     return pages.join(known, ["user_id", "page"], "left").select("user_id", "page", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -326,10 +343,10 @@ def g19(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", count("[*]{2,}").alias("strong"), count("[|]").alias("pipes"), count("#+").alias("hashes"))
 
 
-@_query("g20_assembled_deltas", "SELECT conv_id, string_agg(left(text, 20), '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
+@_query("g20_assembled_deltas", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
 def g20(spark, sf_dir):
     """Pieces of a message in order, as one."""
-    d = F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("delta"))))
+    d = F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("delta"))))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(d, lambda x: x["delta"]), "").alias("content"))
 
 

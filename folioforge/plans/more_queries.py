@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from folioforge.functions import sentences as S
 from folioforge.functions import text as X
 from folioforge.operators import merges as M
+from folioforge.operators import pages as P
 from folioforge.operators import tree as N
-from folioforge.operators.pages import joined_pages, line_groups
 from folioforge.sources.html import html_blocks
 from folioforge.sources.tables import BLOCKS_SQL, TOC_SQL, blocks, table, toc
 
@@ -99,9 +99,11 @@ def g25(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ((F.pmod("event_id", F.lit(6)) + F.pmod("event_id", F.lit(8)).cast("double") / 7) / 6).alias("progression"))
 
 
-@_query("g27_selection")
+@_query("g27_selection", """WITH p AS (SELECT *, row_number() OVER w AS n, last_value(CASE WHEN text <> '' THEN right(text, 1) END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text))
+    SELECT conv_id, CASE WHEN count(text) = count(*) THEN string_agg((CASE WHEN regexp_matches(coalesce(prior, ''), '[\\p{L}\\p{N}]') AND regexp_matches(text, '^[\\p{L}\\p{N}]') THEN ' ' ELSE '' END) || text, '' ORDER BY n) END AS quote FROM p GROUP BY conv_id""")
 def g27(spark, sf_dir):
-    """Pieces of a selection as one, spaced only between letters and digits; it has no SQL."""
+    """Pieces of a selection as one, spaced only between letters and digits."""
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
     ends = lambda s, p: F.coalesce(F.regexp_like(s, F.lit(p)), F.lit(False))
     before = F.last(F.when(F.col("text") != "", F.right("text", F.lit(1))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -118,10 +120,10 @@ def c01(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.normal_path(F.concat(F.lit("./x/../"), p)).alias("path"))
 
 
-@_query("c26_prompt", "SELECT conv_id, string_agg((turn + 1) || '. ' || left(text, 40), chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+@_query("c26_prompt", "SELECT conv_id, string_agg((turn + 1) || '. ' || text, chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def c26(spark, sf_dir):
     """Numbered references put together."""
-    l = F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(40)).alias("t"))))  # noqa: E741
+    l = F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t"))))  # noqa: E741
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(l, lambda x: F.concat(x["turn"] + 1, F.lit(". "), x["t"])), "\n\n").alias("prompt"))
 
 
@@ -170,11 +172,11 @@ def x02(spark, sf_dir):
     return r.join(l, "id", "full").join(g, "id", "left").select("id", action.alias("action"))
 
 
-@_query("x09_restored_order", f"WITH {BLOCKS_SQL} SELECT book_id, string_agg(left(text, 5), '|' ORDER BY block_index) AS t FROM blocks GROUP BY book_id")
+@_query("x09_restored_order", f"WITH {BLOCKS_SQL} SELECT book_id, string_agg(text, '|' ORDER BY block_index) AS t FROM blocks GROUP BY book_id")
 def x09(spark, sf_dir):
     """Results of parallel work, in the order of what was asked."""
     b = blocks(spark, sf_dir).repartition("node")
-    l = F.sort_array(F.collect_list(F.struct("block_index", F.left("text", F.lit(5)).alias("t"))))  # noqa: E741
+    l = F.sort_array(F.collect_list(F.struct("block_index", F.col("text").alias("t"))))  # noqa: E741
     return b.groupBy("book_id").agg(F.array_join(F.transform(l, lambda x: x["t"]), "|").alias("t"))
 
 
@@ -215,16 +217,59 @@ def w08(spark, sf_dir):
     return blocks(spark, sf_dir).select("book_id", "block_index", F.array_join(F.transform(S.sentence_atoms("text"), lambda a: a["text"]), "").alias("text"))
 
 
-@_query("w11_joined_pages")
-def w11(spark, sf_dir):
-    """Paragraphs that a page break cut, joined; the scan has no SQL."""
-    pages = blocks(spark, sf_dir).select("book_id", F.col("block_index").alias("page"), F.col("text").alias("markdown"))
-    return joined_pages(pages)
+def _re2(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _plain_sql(block: str) -> str:
+    return f"(NOT regexp_matches({block}, '{_re2(P.NOT_PARAGRAPH)}') AND NOT regexp_matches(regexp_replace({block}, '{_re2(P.CODE_TICKS)}', '', 'g'), '{_re2(P.NOT_PLAIN)}'))"
 
 
-@_query("w13_line_groups")
+_CLOSED_SQL = "right(rtrim(tail, '" + P.CLOSING.replace("'", "''") + "'), 1)"
+_HYPHEN_SQL = "(" + ", ".join(f"'{c}'" for c in P.HYPHENS) + ")"
+_TERMINAL_SQL = "(" + ", ".join(f"'{c}'" for c in X.TERMINALS) + ")"
+
+
+@_query("w11_joined_pages", f"""WITH RECURSIVE {BLOCKS_SQL}, m AS (
+    SELECT book_id, block_index // 3 AS page, string_agg(text, chr(10) || chr(10) ORDER BY block_index) AS md FROM blocks GROUP BY ALL),
+    p AS (SELECT book_id, page, (book_id + page) % 7 = 0 AS role, row_number() OVER (PARTITION BY book_id ORDER BY page) AS n,
+          list_filter(list_transform(string_split(md, chr(10) || chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), lambda x: x <> '') AS b FROM m),
+    s AS (SELECT *, b[-1] AS tail, lead(b[1]) OVER w AS head, role OR coalesce(lead(role) OVER w, true) AS apart FROM p WINDOW w AS (PARTITION BY book_id ORDER BY page)),
+    j AS (SELECT *, coalesce(NOT apart AND head IS NOT NULL AND tail IS NOT NULL AND {_plain_sql('tail')} AND {_plain_sql('head')} AND (right(tail, 1) IN {_HYPHEN_SQL}
+          OR CASE {_CLOSED_SQL} WHEN '' THEN false WHEN '.' THEN regexp_matches(head, '^\\p{{Ll}}') ELSE {_CLOSED_SQL} NOT IN {_TERMINAL_SQL} END), false) AS fits FROM s),
+    r AS (SELECT book_id, page, n, b, tail, head, fits AS joins, false AS gave FROM j WHERE n = 1
+    UNION ALL SELECT j.book_id, j.page, j.n, j.b, j.tail, j.head, j.fits AND NOT (r.joins AND len(j.b) = 1), r.joins FROM r JOIN j ON j.book_id = r.book_id AND j.n = r.n + 1),
+    o AS (SELECT *, CASE WHEN gave THEN b[2:] ELSE b END AS own FROM r)
+    SELECT book_id, page, array_to_string(CASE WHEN joins THEN list_append(own[:-2], CASE WHEN right(tail, 1) IN {_HYPHEN_SQL} THEN left(tail, length(tail) - 1) || head
+        ELSE tail || (CASE WHEN regexp_matches(tail, '[A-Za-z0-9]$') AND regexp_matches(head, '^[A-Za-z0-9]') THEN ' ' ELSE '' END) || head END) ELSE own END, chr(10) || chr(10)) AS markdown FROM o""")
+def w11(spark, sf_dir):
+    """Paragraphs that a page break cut, joined."""
+    l = F.sort_array(F.collect_list(F.struct("block_index", "text")))  # noqa: E741
+    pages = blocks(spark, sf_dir).groupBy("book_id", F.expr("block_index div 3").alias("page")).agg(F.array_join(F.transform(l, lambda x: x["text"]), "\n\n").alias("markdown"))
+    return P.joined_pages(pages.withColumn("role", F.when(F.pmod(F.col("book_id") + F.col("page"), F.lit(7)) == 0, "cover")))
+
+
+_LINES_SQL = """l AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line,
+    l_quantity AS q, l_partkey AS p FROM lineitem),
+    k AS (SELECT page, line, 50.0 + q % 7 * 9 AS x, line * 13.0 + q % 5 * 2 AS y, 60.0 + q * 5 AS w, 9.0 + p % 6 AS h,
+    CASE WHEN p % 11 = 0 THEN '1.' || line || ' Part' ELSE repeat('word ', (q / 2)::INT) || 'end' END AS text FROM l)"""
+
+
+@_query("w13_line_groups", f"""WITH RECURSIVE {_LINES_SQL},
+    c AS (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py, lag(w) OVER v AS pw, lag(h) OVER v AS ph, lag(text) OVER v AS pt,
+          length(text) < 80 AND regexp_matches(text, '^[0-9.]*[.][0-9.]*[ ]') AS heading FROM k WINDOW v AS (PARTITION BY page ORDER BY line)),
+    n AS (SELECT *, greatest(ph, h, 1.0) AS tall, NOT (y - py <= greatest(ph, h, 1.0) * 0.25 OR y - (py + ph) > greatest(ph, h, 1.0) * 0.45) AND least(ph, h) / greatest(ph, h, 1.0) >= 0.68
+          AND NOT (length(text) < 20 AND w < pw * 0.35 AND length(pt) > 40)
+          AND ((least(px + pw, x + w) - greatest(px, x)) / greatest(least(pw, w), 1.0) >= 0.35 OR abs(x - px) <= greatest(ph, h, 1.0) * 2.5) AS near FROM c),
+    r AS (SELECT page, line, 0 AS g, x AS fx, w AS fw, heading AS fh, 1 AS size FROM n WHERE line = 1
+    UNION ALL
+    SELECT page, line, g + new::INT, CASE WHEN new THEN x ELSE fx END, CASE WHEN new THEN w ELSE fw END, CASE WHEN new THEN heading ELSE fh END, CASE WHEN new THEN 1 ELSE size + 1 END
+    FROM (SELECT n.*, r.g, r.fx, r.fw, r.fh, r.size, NOT n.near OR r.fh OR n.x > r.fx + n.tall * 2.5 OR (n.x + n.tall * 4.0 < r.fx AND n.w > r.fw * 1.25) OR (r.size > 1 AND n.w > r.fw * 1.35 AND n.pw < n.w * 0.8) AS new
+          FROM r JOIN n ON n.page = r.page AND n.line = r.line + 1))
+    SELECT page, line, g::BIGINT AS "group" FROM r""")
 def w13(spark, sf_dir):
-    """Lines of a page in paragraphs by their boxes; the scan has no SQL."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    lines = l.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), (F.col("l_discount") * 100).alias("x"), (F.col("l_linenumber") * 14.0).alias("y"), F.lit(300.0).alias("w"), F.lit(12.0).alias("h"), F.col("l_returnflag").alias("text"))
-    return line_groups(lines)
+    """Lines of a page in paragraphs by their boxes."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(w).cast("long").alias("line"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))  # noqa: E741
+    text = F.when(F.pmod("p", F.lit(11)) == 0, F.concat(F.lit("1."), "line", F.lit(" Part"))).otherwise(F.concat(F.expr("repeat('word ', int(round(q / 2)))"), F.lit("end")))
+    return P.line_groups(l.select("page", "line", (50.0 + F.col("q") % 7 * 9).alias("x"), (F.col("line") * 13.0 + F.col("q") % 5 * 2).alias("y"), (60.0 + F.col("q") * 5).alias("w"), (9.0 + F.col("p") % 6).alias("h"), text.alias("text")))

@@ -75,17 +75,26 @@ def q22_mapping_plausible(spark, sf_dir):
     """Contents whose pages never go back, and differ, unless they are short."""
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("ord"), F.pmod(F.col("event_id"), F.lit(977)).alias("page")).where("page < 300")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("ord"), F.pmod(F.col("event_id"), F.lit(977)).alias("page"))
     w = Window.partitionBy("book_id").orderBy("ord")
     g = e.withColumn("step", F.col("page") - F.lag("page").over(w)).groupBy("book_id").agg(F.count("*").alias("n"), F.count_distinct("page").alias("d"), F.min("step").alias("s"))
     return g.select("book_id", ((F.col("n") < 4) | ((F.col("d") >= 3) & (F.col("s") >= 0))).alias("plausible"))
 
 
+#: What a page without text says (fixed values).
+NO_TEXT = ("本页未识别到正文", "本页尚未生成OCR正文")
+
+
 def q23_placeholders(spark, sf_dir):
-    """Pages that only say that they have no text, emptied."""
+    """Pages that only say that they have no text, emptied: a heading with the page's number, then the phrase."""
     e = table(spark, sf_dir, "events")
-    md = F.when(F.pmod("event_id", F.lit(3)) == 0, F.concat(F.lit("## 第 "), F.col("event_id"), F.lit(" 页\n\n本页未识别到正文。\n"))).otherwise(F.col("props"))
-    return e.select("event_id", F.when(F.regexp_like(md, F.lit(r"(?s)^\s*#{1,6}\s*第\s*\d+\s*页\s*本页(?:未识别到|尚未生成\s*OCR\s*)正文[。.]?\s*$")), "").otherwise(md).alias("markdown"))
+    number = F.col("event_id").cast("string")
+    stub = lambda phrase: F.concat(F.lit("## 第 "), number, F.lit(f" 页\n\n{phrase}\n"))
+    md = F.when(F.pmod("event_id", F.lit(4)) == 0, stub("本页未识别到正文。")).when(F.pmod("event_id", F.lit(4)) == 1, stub("本页尚未生成 OCR 正文")).when(F.pmod("event_id", F.lit(4)) == 2, stub("本页未识别到正文。 but more")).otherwise(F.col("props"))
+    heading = F.regexp_extract(md, r"^\s*(#{1,6}\s*第\s*[0-9]+\s*页)", 1)
+    rest = F.regexp_replace(F.substring(F.ltrim(md), F.length(heading) + 1, F.length(md)), r"\s+", "")
+    phrase = F.regexp_replace(rest, r"[。.]$", "")
+    return e.select("event_id", F.when((heading != "") & phrase.isin(*NO_TEXT), "").otherwise(md).alias("markdown"))
 
 
 def _ranges(spark, sf_dir):
@@ -129,6 +138,6 @@ ORACLE_SQL = {
     "q14_range_overlap": f"WITH {BLOCKS_SQL} SELECT book_id, block_index FROM blocks WHERE book_id * 17 % 90 < char_length",
     "q16_needs_vision": "SELECT page_id, contains(html, '<img') AND length(trim(regexp_replace(html, '(?s)<[^>]*>', '', 'g'))) < 400 AS needs_vision FROM pages",
     "q17_page_index_toc": f"WITH {BLOCKS_SQL} SELECT book_id, count(*) >= 4 AND 3 * count(*) FILTER (WHERE regexp_full_match(split_part(text, ' ', 1), '[0-9０-９ivxlcdmIVXLCDM]+')) >= 2 * count(*) AS page_index FROM blocks GROUP BY book_id",
-    "q22_mapping_plausible": "WITH e AS (SELECT user_id AS book_id, event_id AS ord, event_id % 977 AS page FROM events WHERE event_id % 977 < 300), l AS (SELECT *, page - lag(page) OVER (PARTITION BY book_id ORDER BY ord) AS step FROM e) SELECT book_id, count(*) < 4 OR (count(DISTINCT page) >= 3 AND min(step) >= 0) AS plausible FROM l GROUP BY book_id",
-    "q23_placeholders": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE props END AS markdown FROM events",
+    "q22_mapping_plausible": "WITH e AS (SELECT user_id AS book_id, event_id AS ord, event_id % 977 AS page FROM events), l AS (SELECT *, page - lag(page) OVER (PARTITION BY book_id ORDER BY ord) AS step FROM e) SELECT book_id, count(*) < 4 OR (count(DISTINCT page) >= 3 AND min(step) >= 0) AS plausible FROM l GROUP BY book_id",
+    "q23_placeholders": "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN '' WHEN event_id % 4 = 2 THEN '## 第 ' || event_id || ' 页' || chr(10) || chr(10) || '本页未识别到正文。 but more' || chr(10) ELSE props END AS markdown FROM events",
 }

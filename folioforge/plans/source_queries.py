@@ -58,15 +58,18 @@ def s15(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).cast("long").alias("page"))
 
 
-@_query("s22_text_layer", "WITH g AS (SELECT l_orderkey, l_linenumber, l_linestatus, lag(l_linenumber) OVER w AS ln, lag(l_quantity) OVER w AS lq, l_quantity FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) SELECT l_orderkey, string_agg((CASE WHEN ln IS NULL THEN '' WHEN abs(l_quantity - lq) > 20 THEN chr(10) WHEN abs(l_quantity - lq) > 5 THEN ' ' ELSE '' END) || l_linestatus, '' ORDER BY l_linenumber, l_quantity) AS text FROM g GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_linenumber)")
+_GLYPHS = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus"
+
+
+@_query("s22_text_layer", f"WITH g AS (SELECT l_orderkey, l_linestatus, row_number() OVER w AS n, lag(l_quantity) OVER w AS lq, l_quantity FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_GLYPHS})) SELECT l_orderkey, string_agg((CASE WHEN lq IS NULL THEN '' WHEN abs(l_quantity - lq) > 20 THEN chr(10) WHEN abs(l_quantity - lq) > 5 THEN ' ' ELSE '' END) || l_linestatus, '' ORDER BY n) AS text FROM g GROUP BY l_orderkey")
 def s22(spark, sf_dir):
     """Glyphs as text: a new line or a space where the gap to the glyph before is wide."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    w = Window.partitionBy("l_orderkey").orderBy(*_GLYPHS.split(", "))
     gap = F.abs(F.col("l_quantity") - F.lag("l_quantity").over(w))
-    sep = F.when(F.lag("l_linenumber").over(w).isNull(), "").when(gap > 20, "\n").when(gap > 5, " ").otherwise("")
-    g = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.concat(sep, "l_linestatus").alias("t"))
-    out = g.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "t"))).alias("l"), F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("d"))
-    return out.where("n = d").select("l_orderkey", F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
+    sep = F.when(gap.isNull(), "").when(gap > 20, "\n").when(gap > 5, " ").otherwise("")
+    g = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("n"), F.concat(sep, "l_linestatus").alias("t"))
+    out = g.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("l"))
+    return out.select("l_orderkey", F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
 
 
 @_query("s24_fallback_toc", f"WITH {BLOCKS_SQL}, h AS (SELECT DISTINCT book_id FROM blocks WHERE kind = 'heading') SELECT book_id, block_index, 'Section ' || (block_index + 1) AS label FROM blocks WHERE book_id NOT IN (SELECT book_id FROM h)")
@@ -236,11 +239,10 @@ def k08(spark, sf_dir):
     return c.select("user_id", F.explode(bumped).alias("event_type", "n"))
 
 
-@_query("k16_device_library", "SELECT event_type AS device, string_agg(user_id || '', ',' ORDER BY user_id) AS books FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type")
+@_query("k16_device_library", "SELECT DISTINCT event_type AS device, user_id AS book_id, first_value(event_type <> 'error') OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS present FROM events")
 def k16(spark, sf_dir):
-    """What each device publishes of its library."""
-    d = table(spark, sf_dir, "events").select("event_type", "user_id").distinct()
-    return d.groupBy(F.col("event_type").alias("device")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("user_id")), lambda x: x.cast("string")), ",").alias("books"))
+    """What each device publishes of its library, a row a book."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("device"), F.col("user_id").alias("book_id")).agg(F.max_by(F.col("event_type") != "error", "event_id").alias("present"))
 
 
 @_query("k17_upload_missing", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'upload' WHEN d.n_chars % 2 = l.quality THEN 'skip' ELSE 'mismatch' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)")

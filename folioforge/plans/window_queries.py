@@ -29,9 +29,23 @@ def w01(spark, sf_dir, most: int = 100):
     return b.select("book_id", "block_index", "piece", F.substring("text", (F.col("piece") * most + 1).cast("int"), F.lit(most)).alias("text"))
 
 
-@_query("w02_fragments")
+_NUMBERED = f"{BLOCKS_SQL}, b AS (SELECT book_id, block_index, char_length AS x, row_number() OVER (PARTITION BY book_id ORDER BY block_index) AS rn FROM blocks)"
+
+
+def _greedy_sql(most: int, most_rows: int) -> str:
+    """The fold as a recursion: a group's sum and rows go along, and whether it is closed."""
+    return f"""WITH RECURSIVE {_NUMBERED}, f AS (
+        SELECT book_id, block_index, rn, 0 AS "group", x AS total, 1 AS n, x >= {most} OR 1 >= {most_rows} AS closed FROM b WHERE rn = 1
+        UNION ALL
+        SELECT book_id, block_index, rn, "group" + new::INT, CASE WHEN new THEN x ELSE total + x END, CASE WHEN new THEN 1 ELSE n + 1 END,
+               (CASE WHEN new THEN x ELSE total + x END) >= {most} OR (CASE WHEN new THEN 1 ELSE n + 1 END) >= {most_rows}
+        FROM (SELECT b.*, f."group", f.total, f.n, f.total + b.x > {most} OR f.n >= {most_rows} OR f.closed AS new FROM f JOIN b ON b.book_id = f.book_id AND b.rn = f.rn + 1))
+        SELECT book_id, block_index, "group"::BIGINT AS "group" FROM f"""
+
+
+@_query("w02_fragments", _greedy_sql(4096, 64))
 def w02(spark, sf_dir):
-    """Blocks in fragments of at most 64 blocks and 4096 signs; the fold has no SQL."""
+    """Blocks in fragments of at most 64 blocks and 4096 signs."""
     return W.grouped(blocks(spark, sf_dir), "book_id", "block_index", "char_length", 4096, 64, after=True)
 
 
@@ -74,9 +88,13 @@ def w12(spark, sf_dir):
     return b.groupBy("book_id", "start").agg(F.count("*").alias("n"), F.sum("char_length").alias("chars"))
 
 
-@_query("w14_greedy_batches")
+@_query("w14_greedy_batches", f"""WITH RECURSIVE {_NUMBERED}, f AS (
+    SELECT book_id, block_index, rn, 0 AS g, x AS total FROM b WHERE rn = 1
+    UNION ALL
+    SELECT b.book_id, b.block_index, b.rn, f.g + (f.total + b.x > 2000)::INT, CASE WHEN f.total + b.x > 2000 THEN b.x ELSE f.total + b.x END FROM f JOIN b ON b.book_id = f.book_id AND b.rn = f.rn + 1)
+    SELECT book_id, block_index, g::BIGINT AS "group" FROM f""")
 def w14(spark, sf_dir):
-    """Blocks in batches of at most 2000 signs; the fold has no SQL."""
+    """Blocks in batches of at most 2000 signs."""
     return W.grouped(blocks(spark, sf_dir), "book_id", "block_index", "char_length", 2000)
 
 
@@ -114,9 +132,15 @@ def _entries(spark, sf_dir):
     return e.select(F.col("user_id").alias("book_id"), F.col("event_id").alias("ord"), F.pmod("event_id", F.lit(4)).alias("depth"), F.expr("event_id div 300 + 1").alias("page"), title.alias("title"))
 
 
-@_query("w19_toc_depths")
+@_query("w19_toc_depths", """WITH RECURSIVE e AS (SELECT user_id AS book_id, event_id AS ord, event_id % 4 AS depth, event_id // 300 + 1 AS page, event_id % 3 = 0 AS numbered FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, depth, numbered, ord) AS rn FROM e),
+    f AS (SELECT book_id, ord, rn, 0::BIGINT AS depth, page, numbered FROM r WHERE rn = 1
+    UNION ALL
+    SELECT r.book_id, r.ord, r.rn, CASE WHEN r.depth = 0 AND f.depth = 0 AND r.page = f.page AND r.numbered AND NOT f.numbered THEN 1 ELSE least(r.depth, f.depth + 1) END, r.page, r.numbered
+    FROM f JOIN r ON r.book_id = f.book_id AND r.rn = f.rn + 1)
+    SELECT book_id, ord, depth FROM f""")
 def w19(spark, sf_dir):
-    """Contents entries sorted, their depths made to nest; the fold has no SQL."""
+    """Contents entries sorted, their depths made to nest."""
     e = _entries(spark, sf_dir).withColumn("numbered", F.regexp_like("title", F.lit("^[0-9０-９]")))
     lists = e.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("page", "depth", "numbered", "ord"))).alias("l"))
     return lists.select("book_id", F.explode(F.arrays_zip("l", W.toc_depths(F.col("l")).alias("d"))).alias("z")).select("book_id", F.col("z.l.ord").alias("ord"), F.col("z.d").cast("long").alias("depth"))
@@ -150,19 +174,18 @@ def w24(spark, sf_dir):
     return blocks(spark, sf_dir).groupBy("book_id").agg(F.array_join(F.transform(l, lambda x: F.concat(x["node"], F.lit(":"), x["char_length"])), ",").alias("ranges"))
 
 
-@_query("o01_shelf_order", "SELECT p_partkey, row_number() OVER (ORDER BY greatest(coalesce(a.n, 0), p_size) DESC, p_size DESC, p_partkey) AS place FROM part LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) a ON a.user_id = p_partkey ORDER BY 2 LIMIT 100")
-def o01(spark, sf_dir, most: int = 100):
-    """The first books of the shelf, by what was read or added last."""
+@_query("o01_shelf_order", "SELECT p_partkey, row_number() OVER (ORDER BY greatest(coalesce(a.n, 0), p_size) DESC, p_size DESC, p_partkey) AS place FROM part LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) a ON a.user_id = p_partkey")
+def o01(spark, sf_dir):
+    """The shelf by what was read or added last, and each book's place on it."""
     a = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("p_partkey")).agg(F.count("*").alias("n"))
-    top = table(spark, sf_dir, "part").join(a, "p_partkey", "left").orderBy(F.greatest(F.coalesce("n", F.lit(0)), F.col("p_size").cast("long")).desc(), F.desc("p_size"), "p_partkey").limit(most)
-    w = Window.orderBy(F.greatest(F.coalesce("n", F.lit(0)), F.col("p_size").cast("long")).desc(), F.desc("p_size"), "p_partkey")
-    return top.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    books = table(spark, sf_dir, "part").join(a, "p_partkey", "left").select("p_partkey", "p_size", F.greatest(F.coalesce("n", F.lit(0)), F.col("p_size").cast("long")).alias("activity"))
+    return W.ranked(books, [F.desc("activity"), F.desc("p_size"), F.asc("p_partkey")], "shelf").select("p_partkey", "place")
 
 
-@_query("o02_library_order", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+@_query("o02_library_order", "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
 def o02(spark, sf_dir):
-    """The books added last."""
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "o_orderdate")
+    """The library, added last first, and each book's place in it."""
+    return W.ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.asc("o_orderkey")], "library").select("o_orderkey", "o_orderdate", "place")
 
 
 @_query("o03_live_annotations", "SELECT event_id FROM events WHERE event_type <> 'error'")
