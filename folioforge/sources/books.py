@@ -14,6 +14,7 @@ import struct
 import urllib.parse
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from folioforge.shipping import ship
 
-#: Budgets against harmful archives: entries, bytes of one entry, and of all.
-MOST_ENTRIES, MOST_ENTRY, MOST_TOTAL = 10_000, 64 << 20, 1 << 30
+#: Budgets against harmful archives: entries, bytes of one entry, of all, and unpacked for packed (fixed values).
+MOST_ENTRIES, MOST_ENTRY, MOST_TOTAL, MOST_RATIO = 10_000, 64 << 20, 1 << 30, 200
 IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "bmp")
 SCHEMA = "book_id string, path string, format string, title string, authors array<string>, section_index int, href string, content string, toc array<struct<label:string,href:string,depth:int>>, error string"
 _COLUMNS = [x.split()[0] for x in ("book_id", "path", "format", "title", "authors", "section_index", "href", "content", "toc", "error")]
@@ -74,20 +75,79 @@ def _text(element: ET.Element | None) -> str:
     return re.sub(r"\s+", " ", "".join(element.itertext())).strip() if element is not None else ""
 
 
+def _inflated(method: int, data: bytes, most: int) -> bytes:
+    """The bytes of a stored or deflated entry, as far as a budget goes."""
+    if method == 0:
+        return data
+    if method != 8:
+        raise ValueError(f"packing {method} of an entry is not supported")
+    unpacker = zlib.decompressobj(-15)
+    out = unpacker.decompress(data, most + 1)
+    if len(out) > most:
+        raise ValueError("an entry is over its budget")
+    return out
+
+
+def recovered_entries(data: bytes) -> dict[str, tuple[int, int, bytes]]:
+    """``name: (method, crc, packed bytes)`` by the headers before the entries, for archives without a readable directory.
+
+    Names that a readable directory lacks are left out, its sizes count where they are larger, the methods must
+    agree, and of entries with one name the last stays.
+    """
+    listed: dict[str, tuple[int, int]] = {}
+    at = data.find(b"PK\x01\x02")
+    while at >= 0 and at + 46 <= len(data):
+        method, packed = struct.unpack_from("<H8xI", data, at + 10)
+        n, extra, note = struct.unpack_from("<HHH", data, at + 28)
+        listed[data[at + 46 : at + 46 + n].decode("utf-8", "replace")] = (method, packed)
+        at = data.find(b"PK\x01\x02", at + 46 + n + extra + note)
+    out: dict[str, tuple[int, int, bytes]] = {}
+    at = data.find(b"PK\x03\x04")
+    while at >= 0 and at + 30 <= len(data):
+        _, method, _, _, crc, size, _, n, extra = struct.unpack_from("<HHHHIIIHH", data, at + 6)
+        name, begin = data[at + 30 : at + 30 + n].decode("utf-8", "replace"), at + 30 + n + extra
+        known = listed.get(name)
+        if known is not None:
+            if known[0] != method:
+                raise ValueError(f"{name} has two packings")
+            size = max(size, known[1])
+        after = data.find(b"PK\x03\x04", begin + size)
+        if (known is not None or not listed) and not name.endswith("/"):
+            if len(out) >= MOST_ENTRIES:
+                raise ValueError("the archive is over its budget")
+            out[name] = (method, crc, data[begin : begin + size])
+        at = after
+    if not out:
+        raise ValueError("not an archive")
+    return out
+
+
 class Archive:
-    """A zip's entries within the budgets, by canonical path."""
+    """A zip's entries within the budgets, by canonical path; without a directory by the entries' own headers."""
 
     def __init__(self, data: bytes) -> None:
-        self._zip = zipfile.ZipFile(io.BytesIO(data))
+        self._zip, self._found = None, {}
+        try:
+            self._zip = zipfile.ZipFile(io.BytesIO(data))
+        except zipfile.BadZipFile:
+            self._found = recovered_entries(data)
+            self.names = list(self._found)
+            return
         entries = [x for x in self._zip.infolist() if not x.is_dir()]
         if len(entries) > MOST_ENTRIES or sum(x.file_size for x in entries) > MOST_TOTAL:
             raise ValueError("the archive is over its budget")
         self.names = [x.filename for x in entries]
 
     def read(self, name: str) -> bytes:
-        """One entry; ``KeyError`` if there is none."""
+        """One entry with its checksum tested; ``KeyError`` if there is none."""
+        if self._zip is None:
+            method, crc, packed = self._found[name]
+            out = _inflated(method, packed, MOST_ENTRY)
+            if zlib.crc32(out) != crc:
+                raise ValueError(f"{name} has a wrong checksum")
+            return out
         info = self._zip.getinfo(name)
-        if info.file_size > MOST_ENTRY:
+        if info.file_size > MOST_ENTRY or info.file_size > MOST_RATIO * max(info.compress_size, 1 << 10):
             raise ValueError(f"{name} is over its budget")
         return self._zip.read(name)
 
@@ -165,6 +225,8 @@ def read_fb2(data: bytes) -> dict:
 
     def markup(e: ET.Element) -> str:
         tag = tags.get(_name(e), "div")
+        if tag in ("h1", "h2"):  # a title's paragraphs are one heading
+            return f"<{tag}>{_escaped(' '.join(filter(None, map(_text, e))) or _text(e))}</{tag}>"
         inside = "".join([_escaped(e.text), *(markup(c) + _escaped(c.tail) for c in e)])
         return f"<{tag}>{inside}</{tag}>"
 
@@ -221,8 +283,24 @@ def palmdoc(data: bytes) -> bytes:
     return bytes(out)
 
 
+def exth(head: bytes) -> dict[int, list[str]]:
+    """The metadata records of a Mobipocket header by kind, none if it has no such block."""
+    if len(head) < 132 or not struct.unpack_from(">I", head, 128)[0] & 0x40:
+        return {}
+    at = 16 + struct.unpack_from(">I", head, 20)[0]
+    if head[at : at + 4] != b"EXTH":
+        return {}
+    out: dict[int, list[str]] = {}
+    count, at = struct.unpack_from(">I", head, at + 8)[0], at + 12
+    for _ in range(count):
+        kind, size = struct.unpack_from(">II", head, at)
+        out.setdefault(kind, []).append(head[at + 8 : at + size].decode("utf-8", "replace").strip())
+        at += max(size, 8)
+    return out
+
+
 def read_mobi(data: bytes) -> dict:
-    """Text sections of a Mobipocket book that is plain or PalmDOC-packed."""
+    """Text sections of a Mobipocket book that is plain or PalmDOC-packed; title and authors by its metadata."""
     count = struct.unpack_from(">H", data, 76)[0]
     offsets = [struct.unpack_from(">I", data, 78 + 8 * k)[0] for k in range(count)] + [len(data)]
     record = lambda k: data[offsets[k] : offsets[k + 1]]
@@ -230,10 +308,12 @@ def read_mobi(data: bytes) -> dict:
     packing, _, length, records = struct.unpack_from(">HHIH", head, 0)
     if packing not in (1, 2):
         raise ValueError(f"packing {packing} is not supported")
+    known = exth(head)
     raw = b"".join((palmdoc if packing == 2 else bytes)(record(k)) for k in range(1, records + 1))[:length]
     text = raw.decode("utf-8" if len(head) >= 32 and struct.unpack_from(">I", head, 28)[0] == 65001 else "cp1252", "replace")
-    parts = [p for p in re.split(r"(?i)<mbp:pagebreak[^>]*/?>(?:</mbp:pagebreak>)?", text) if re.sub(r"<[^>]*>|\s", "", p)]
-    return {"title": data[:32].split(b"\0")[0].decode("latin-1").replace("_", " "), "authors": [], "sections": [(f"chapter-{k + 1}", p) for k, p in enumerate(parts)], "toc": [{"label": f"Chapter {k + 1}", "href": f"chapter-{k + 1}", "depth": 0} for k in range(len(parts))]}
+    parts = [p for p in re.split(r"(?i)<(?:mbp:)?pagebreak[^>]*/?>(?:</(?:mbp:)?pagebreak>)?", text) if re.sub(r"<[^>]*>|\s", "", p)]
+    title = next(filter(None, known.get(503, [])), "") or data[:32].split(b"\0")[0].decode("latin-1").replace("_", " ")
+    return {"title": title, "authors": [a for a in known.get(100, []) if a], "sections": [(f"chapter-{k + 1}", p) for k, p in enumerate(parts)], "toc": [{"label": f"Chapter {k + 1}", "href": f"chapter-{k + 1}", "depth": 0} for k in range(len(parts))]}
 
 
 def markdown_to_html(text: str) -> str:
@@ -321,5 +401,20 @@ def read_sections(files: DataFrame) -> DataFrame:
 
 def open_books(spark: SparkSession, path: str) -> DataFrame:
     """The sections of all book files below a path, on any store that Spark reads."""
+    return read_sections(book_table(spark, path))
+
+
+def book_table(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a path as bytes."""
     ship(spark)
-    return read_sections(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def catalog_of(files: DataFrame) -> DataFrame:
+    """``book_id, path, format, title, authors`` of each file: opened for its description, no section kept."""
+    return read_sections(files).where("section_index = 0 OR error IS NOT NULL").select("book_id", "path", "format", "title", "authors", "error")
+
+
+def contents_of(sections: DataFrame) -> DataFrame:
+    """``book_id, path, ord, label, href, depth`` of the books' contents."""
+    return sections.where("section_index = 0").select("book_id", "path", F.posexplode("toc").alias("ord", "t")).select("book_id", "path", "ord", "t.*")
