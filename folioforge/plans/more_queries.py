@@ -142,26 +142,6 @@ def c08(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, rf"(?<=[{X.CJK}]) (?=[{X.CJK}])", "").alias("text"))
 
 
-@_query("k07_upsert_annotation", "SELECT user_id, event_type, max_by(props, event_id) AS note FROM events GROUP BY user_id, event_type")
-def k07(spark, sf_dir):
-    """The last version of each annotation."""
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("props", "event_id").alias("note"))
-
-
-@_query("k10_put_if_absent", "SELECT user_id, min_by(event_id, event_id) AS event_id FROM events GROUP BY user_id")
-def k10(spark, sf_dir):
-    """Of writes to one place, the first stays."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-
-
-@_query("k11_compare_and_swap", "SELECT event_id, coalesce(event_id % 5 = lag(event_id % 5) OVER (PARTITION BY user_id ORDER BY event_id), false) AS conflict FROM events")
-def k11(spark, sf_dir):
-    """Writes whose version tag was taken by the write before."""
-    tag = F.pmod("event_id", F.lit(5))
-    before = F.lag(tag).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(tag == before, F.lit(False)).alias("conflict"))
-
-
 @_query("x02_full_sync", "WITH r AS (SELECT p_partkey AS id FROM part WHERE p_size > 15), l AS (SELECT p_partkey AS id FROM part WHERE p_size < 30), g AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error') SELECT coalesce(r.id, l.id) AS id, CASE WHEN l.id IS NULL AND g.id IS NOT NULL THEN 'removed' WHEN l.id IS NULL THEN 'download' WHEN r.id IS NULL THEN 'upload' ELSE 'merge' END AS action FROM r FULL JOIN l ON r.id = l.id LEFT JOIN g ON g.id = coalesce(r.id, l.id)")
 def x02(spark, sf_dir):
     """What a sync does with each book, here, there, or removed here."""

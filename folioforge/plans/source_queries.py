@@ -189,65 +189,3 @@ def t33(spark, sf_dir):
     """What is translated apart: cells of tables, else whole blocks."""
     s = F.when(F.col("kind") == "table", F.split("text", r" \| ")).otherwise(F.array("text"))
     return blocks(spark, sf_dir).select("book_id", "block_index", F.posexplode(s).alias("segment_index", "text")).withColumn("segment_index", F.col("segment_index").cast("long"))
-
-
-@_query("k02_import", "WITH h AS (SELECT doc_id, sha256(text) AS id FROM documents), l AS (SELECT id FROM h WHERE doc_id < 300) SELECT count(DISTINCT id) FILTER (WHERE id NOT IN (SELECT id FROM l)) AS imported, count(*) FILTER (WHERE doc_id >= 300) - count(DISTINCT id) FILTER (WHERE id NOT IN (SELECT id FROM l)) AS duplicates FROM h")
-def k02(spark, sf_dir):
-    """An import into a library that has the first documents: what is new, what is known."""
-    h = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("id"))
-    fresh = h.where("doc_id >= 300").join(h.where("doc_id < 300").select("id"), "id", "left_anti").agg(F.count_distinct("id").alias("imported"))
-    all_ = h.where("doc_id >= 300").agg(F.count("*").alias("n"))
-    return fresh.join(all_, F.lit(True)).select("imported", (F.col("n") - F.col("imported")).alias("duplicates"))
-
-
-@_query("k03_verified_import", "SELECT doc_id, doc_id % 4 > 0 AS accepted FROM documents")
-def k03(spark, sf_dir):
-    """Remote books whose digest is what they are named by."""
-    d = table(spark, sf_dir, "documents").withColumn("name", F.sha2(F.when(F.pmod("doc_id", F.lit(4)) > 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))), 256))
-    return d.select("doc_id", (F.sha2("text", 256) == F.col("name")).alias("accepted"))
-
-
-@_query("k04_remove", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')")
-def k04(spark, sf_dir):
-    """The library without what was removed."""
-    gone = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(gone, "p_partkey", "left_anti")
-
-
-@_query("k05_metadata", "SELECT p_partkey, CASE WHEN p_type = p_brand THEN p_type ELSE p_type || ';' || p_brand || ';' || p_type END AS authors FROM part")
-def k05(spark, sf_dir):
-    """Authors trimmed, blanks gone, neighbours that repeat once."""
-    raw = F.array(F.concat(F.lit(" "), "p_type"), F.col("p_type"), F.lit("  "), F.col("p_brand"), F.concat("p_brand", F.lit(" ")), F.col("p_type"))
-    names = F.filter(F.transform(raw, lambda a: F.trim(a)), lambda a: a != "")
-    once = F.aggregate(names, F.array().cast("array<string>"), lambda out, a: F.when(F.coalesce(F.get(out, F.size(out) - 1) == a, F.lit(False)), out).otherwise(F.concat(out, F.array(a))))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(once, ";").alias("authors"))
-
-
-@_query("k06_upsert_progress", "SELECT user_id AS book_id, arg_max(value, (epoch_us(ts) // 1000, event_id)) AS value FROM events GROUP BY user_id")
-def k06(spark, sf_dir):
-    """Rows of a table and rows to put in it, the newest of each key."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), "value", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("wall"))
-    both = e.where("event_id % 2 = 0").union(e.where("event_id % 2 = 1"))
-    return both.groupBy("book_id").agg(F.max_by("value", F.struct("wall", "event_id")).alias("value"))
-
-
-@_query("k08_soft_delete", "SELECT user_id, event_type, count(*) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS n FROM events GROUP BY user_id, event_type UNION ALL SELECT DISTINCT user_id, 'click', 1 FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
-def k08(spark, sf_dir):
-    """Clocks of annotations after a deletion on one device."""
-    c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").count().groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("clock"))
-    bumped = F.map_concat(F.map_filter("clock", lambda k, v: k != "click"), F.create_map(F.lit("click"), F.coalesce(F.col("clock")["click"], F.lit(0)) + 1))
-    return c.select("user_id", F.explode(bumped).alias("event_type", "n"))
-
-
-@_query("k16_device_library", "SELECT DISTINCT event_type AS device, user_id AS book_id, first_value(event_type <> 'error') OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS present FROM events")
-def k16(spark, sf_dir):
-    """What each device publishes of its library, a row a book."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("device"), F.col("user_id").alias("book_id")).agg(F.max_by(F.col("event_type") != "error", "event_id").alias("present"))
-
-
-@_query("k17_upload_missing", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'upload' WHEN d.n_chars % 2 = l.quality THEN 'skip' ELSE 'mismatch' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)")
-def k17(spark, sf_dir):
-    """What to upload: missing books; those of another size are errors."""
-    d, l = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality")  # noqa: E741
-    action = F.when(F.col("quality").isNull(), "upload").when(F.pmod("n_chars", F.lit(2)) == F.col("quality"), "skip").otherwise("mismatch")
-    return d.join(l, "doc_id", "left").select("doc_id", action.alias("action"))
