@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
-from folioforge.operators.search import matches, search, suggestions
+from folioforge.operators.search import matches, search, section_titles, suggestions
 from folioforge.sources.tables import BLOCKS_SQL, blocks, table
 
 
 def _matches_sql(query: str) -> str:
-    return f"""m AS (SELECT *, regexp_extract_all(text, '(?i){query}') AS ms, string_split_regex(text, '(?i){query}') AS ps FROM blocks),
+    return f"""c AS (SELECT book_id, block_index, node, kind, unnest(CASE kind WHEN 'table' THEN range(len(l)) ELSE [NULL] END) AS cell, unnest(l) AS text
+        FROM (SELECT *, CASE kind WHEN 'table' THEN string_split(text, ' | ') ELSE [text] END AS l FROM blocks)),
+    titles AS (SELECT book_id, coalesce(min_by(text, block_index) FILTER (WHERE kind = 'heading'), 'Section ' || (book_id + 1)) AS title FROM blocks GROUP BY book_id),
+    m AS (SELECT *, regexp_extract_all(text, '(?i){query}') AS ms, string_split_regex(text, '(?i){query}') AS ps FROM c),
     e AS (SELECT * EXCLUDE (ms, ps), unnest(range(1, len(ms) + 1)) AS i, ms, ps FROM m),
-    found AS (SELECT book_id, block_index, node, kind, text, ms[i] AS matched,
+    found AS (SELECT book_id, block_index, cell, node, kind, text, ms[i] AS matched,
         (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS start FROM e),
-    hits AS (SELECT book_id, block_index, node, kind, matched, start, start + length(matched) AS "end",
+    hits AS (SELECT book_id, block_index, cell, node, kind, matched, start, start + length(matched) AS "end",
         (CASE WHEN start > 72 THEN '…' ELSE '' END) || trim(substr(text, greatest(start - 72, 0) + 1, least(start + length(matched) + 72, length(text)) - greatest(start - 72, 0)))
         || (CASE WHEN start + length(matched) + 72 < length(text) THEN '…' ELSE '' END) AS excerpt FROM found)"""
 
@@ -51,12 +54,6 @@ def q12_commands(spark, sf_dir):
     return e.select("event_id", F.size(F.filter(names, lambda n: F.startswith(n, F.col("token")))).cast("long").alias("n"))
 
 
-def q07_section_title(spark, sf_dir):
-    """A section's first heading, else its number."""
-    b = blocks(spark, sf_dir).groupBy("book_id").agg(F.min_by("text", F.when(F.col("kind") == "heading", F.col("block_index"))).alias("h"))
-    return b.select("book_id", F.coalesce("h", F.concat(F.lit("Section "), F.col("book_id") + 1)).alias("title"))
-
-
 def q16_needs_vision(spark, sf_dir):
     """Pages with images and no text to speak of."""
     p = table(spark, sf_dir, "pages")
@@ -117,17 +114,17 @@ def q14_range_overlap(spark, sf_dir):
 QUERIES = {
     "q01_search": lambda s, d: search(blocks(s, d), "thing", 200),
     "q02_search_section": lambda s, d: search(blocks(s, d), "the", 200, book_id=7),
-    "q03_match_ranges": lambda s, d: matches(blocks(s, d), "tion").select("book_id", "node", "start", "end"),
-    "q04_excerpts": lambda s, d: matches(blocks(s, d), "shthe").select("book_id", "block_index", "start", "excerpt"),
-    "q07_section_title": q07_section_title, "q08_shelf_filter": q08_shelf_filter, "q09_annotation_search": q09_annotation_search, "q10_suggestions": q10_suggestions,
+    "q03_match_ranges": lambda s, d: matches(blocks(s, d), "tion").select("book_id", "node", "cell", "start", "end"),
+    "q04_excerpts": lambda s, d: matches(blocks(s, d), "shthe").select("book_id", "block_index", "cell", "start", "excerpt"),
+    "q07_section_title": lambda s, d: section_titles(blocks(s, d)), "q08_shelf_filter": q08_shelf_filter, "q09_annotation_search": q09_annotation_search, "q10_suggestions": q10_suggestions,
     "q11_reference_token": q11_reference_token, "q12_commands": q12_commands, "q13_range_contains": q13_range_contains, "q14_range_overlap": q14_range_overlap,
     "q16_needs_vision": q16_needs_vision, "q17_page_index_toc": q17_page_index_toc, "q22_mapping_plausible": q22_mapping_plausible, "q23_placeholders": q23_placeholders,
 }
 ORACLE_SQL = {
-    "q01_search": f'WITH {BLOCKS_SQL}, {_matches_sql("thing")} SELECT book_id, block_index, node, kind, start, "end", matched, excerpt FROM hits ORDER BY book_id, block_index, start LIMIT 200',
-    "q02_search_section": f'WITH {BLOCKS_SQL}, {_matches_sql("the")} SELECT book_id, block_index, node, kind, start, "end", matched, excerpt FROM hits WHERE book_id = 7 ORDER BY book_id, block_index, start LIMIT 200',
-    "q03_match_ranges": f'WITH {BLOCKS_SQL}, {_matches_sql("tion")} SELECT book_id, node, start, "end" FROM hits',
-    "q04_excerpts": f"WITH {BLOCKS_SQL}, {_matches_sql('shthe')} SELECT book_id, block_index, start, excerpt FROM hits",
+    "q01_search": f'WITH {BLOCKS_SQL}, {_matches_sql("thing")} SELECT hits.*, title FROM hits JOIN titles USING (book_id) ORDER BY book_id, block_index, coalesce(cell, 0), start LIMIT 200',
+    "q02_search_section": f'WITH {BLOCKS_SQL}, {_matches_sql("the")} SELECT hits.*, title FROM hits JOIN titles USING (book_id) WHERE book_id = 7 ORDER BY book_id, block_index, coalesce(cell, 0), start LIMIT 200',
+    "q03_match_ranges": f'WITH {BLOCKS_SQL}, {_matches_sql("tion")} SELECT book_id, node, cell, start, "end" FROM hits',
+    "q04_excerpts": f"WITH {BLOCKS_SQL}, {_matches_sql('shthe')} SELECT book_id, block_index, cell, start, excerpt FROM hits",
     "q07_section_title": f"WITH {BLOCKS_SQL} SELECT book_id, coalesce(min_by(text, block_index) FILTER (WHERE kind = 'heading'), 'Section ' || (book_id + 1)) AS title FROM blocks GROUP BY book_id",
     "q08_shelf_filter": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'brand#2')",
     "q09_annotation_search": "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the') ORDER BY conv_id DESC, turn LIMIT 20",

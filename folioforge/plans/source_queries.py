@@ -101,13 +101,6 @@ def s28(spark, sf_dir):
     return dense.join(a, ["book", "page"], "left").select("book", "page", F.coalesce("markdown", F.lit("")).alias("markdown"))
 
 
-@_query("s32_event_stream", "SELECT conv_id, turn, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS event FROM conversations")
-def s32(spark, sf_dir):
-    """The events of a byte stream, one for each delimited part."""
-    parts = F.filter(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: x != "")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(parts).alias("event"))
-
-
 @_query("s33_json_in_text", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def s33(spark, sf_dir):
     """JSON taken out of a fenced answer."""
