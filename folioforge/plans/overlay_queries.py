@@ -77,11 +77,11 @@ def e03(spark, sf_dir):
     return V.translated(V.rewritten(b, _rewrites(spark, sf_dir)), translations, bilingual=True)
 
 
-@_query("e04_sentence_view", f"WITH {_LINES} SELECT book_id, block_index, unnest(['n0@0', 'n0@' || (length(t) + 3), 'n0@' || (length(t) + 15), 'n1']) AS node, unnest(['paragraph', 'paragraph', 'paragraph', 'heading']) AS kind, unnest([t || '1. ', 'Next (a. B) ', t || '!', t]) AS text FROM x")
+@_query("e04_sentence_view", f"WITH {_LINES} SELECT book_id, block_index, unnest(['n0@0', 'n0@' || (length(t) + 3), 'n0@' || (length(t) + 15), 'n1']) AS node, unnest(['paragraph', 'paragraph', 'paragraph', 'heading']) AS kind, unnest([t || '1. ', 'Next (a. B) ', 'X' || t || '!', t]) AS text FROM x")
 def e04(spark, sf_dir):
     """Paragraphs as sentences with nodes of their own, an end inside brackets at their end; headings stay."""
     l = lines(spark, sf_dir)  # noqa: E741
-    b = l.select("book_id", "block_index", F.lit("n0").alias("node"), F.lit("paragraph").alias("kind"), F.concat("t", F.lit("1. Next (a. B) "), "t", F.lit("!")).alias("text"))
+    b = l.select("book_id", "block_index", F.lit("n0").alias("node"), F.lit("paragraph").alias("kind"), F.concat("t", F.lit("1. Next (a. B) X"), "t", F.lit("!")).alias("text"))
     return V.by_sentence(b.unionByName(l.select("book_id", "block_index", F.lit("n1").alias("node"), F.lit("heading").alias("kind"), F.col("t").alias("text"))))
 
 
