@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from folioforge.llm.common import free_name, text_or_empty
+from folioforge.llm.common import column, free_name, text_or_empty
 
 #: Bytes of the longest unsplit part that is encoded in one go, and of a leaf.
 LONG, LEAF = 512, 256
@@ -180,7 +180,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
             columns = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_rows(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -215,4 +215,4 @@ def bpe_texts(encoded: DataFrame, tokenizer_path: str, ids_col: str = "token_ids
         own = codec(tokenizer_path)
         return ids.map(lambda x: None if x is None else own.decode(list(x)))
 
-    return encoded.select("*", decode(f"`{ids_col}`").alias(free_name(encoded, "decoded_text")))
+    return encoded.select("*", decode(column(ids_col)).alias(free_name(encoded, "decoded_text")))

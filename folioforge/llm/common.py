@@ -75,7 +75,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     prepare(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written[path] = spark
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -113,9 +113,14 @@ def discard(df: DataFrame) -> None:
         _delete(path)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(text: str) -> Column:
     """The text column with null as the empty string."""
-    return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return F.coalesce(column(text).cast("string"), F.lit(""))
 
 
 def words_of(text: Column) -> Column:
@@ -125,4 +130,4 @@ def words_of(text: Column) -> Column:
 
 def held_out(id_column: str) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
-    return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(column(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(True))

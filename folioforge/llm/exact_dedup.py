@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, text_or_empty
+from folioforge.llm.common import column, cut, text_or_empty
 
 _RUNS = "doc_id long, row long, sha binary, size long, best long, stays boolean, part int, edge boolean"
 _RUNS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sha", pa.binary()), ("size", pa.int64()), ("best", pa.int64()), ("stays", pa.bool_()), ("part", pa.int32()), ("edge", pa.bool_())])
@@ -123,7 +123,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``row_col`` names a column of longs that goes along, to tell rows with equal ids apart.
     """
     largest = {"largest": True, "smallest": False}[keep]
-    local = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("norm"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")).mapInArrow(
+    local = docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("norm"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")).mapInArrow(
         normalise_and_group, "norm string, lead long, members array<long>, rows array<long>"
     )
     keyed = local.withColumn("key", F.concat(F.substring("norm", 1, PREFIX), F.lpad(F.hex(F.xxhash64("norm")), 16, "0")))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import SPACE_CLASS, cut, text_or_empty
+from folioforge.llm.common import SPACE_CLASS, column, cut, text_or_empty
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -201,7 +201,7 @@ def _cut_texts(text_at: int, parts_at: int, size_at: int | None):
 
 
 class Mix:
-    """The plan of a mix. ``docs`` must have ``rid`` (a row number), ``key`` (a hash of the row), ``source`` and ``size``."""
+    """The plan of a mix. ``docs`` must have ``rid`` (a row number), ``key`` and ``rest`` (hashes of the row), ``doc_id``, ``source`` and ``size``."""
 
     def __init__(self, docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> None:
         self.spark: SparkSession = docs.sparkSession
@@ -240,8 +240,8 @@ class Mix:
         sums = docs.groupBy("source_index", "piece").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("source_index").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
         bases = sums.select("source_index", "piece", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-        # The row number parts rows only that are equal in all columns.
-        within = Window.partitionBy("source_index", "piece").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+        # The other columns part rows of one id, text and source; the row number parts rows that are equal in all columns.
+        within = Window.partitionBy("source_index", "piece").orderBy("key", "doc_id", "size", "rest", "rid").rowsBetween(Window.unboundedPreceding, -1)
         placed = docs.select("rid", "size", "source_index", "piece", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("inner")).join(bases, ["source_index", "piece"])
         b = self._block_words
         placed = placed.select("rid", "size", "source_index", (F.col("base") + F.col("inner")).alias("at"))
@@ -264,10 +264,12 @@ def _word_count(text) -> object:
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     own = {id_col, text_col, source_col}
-    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col), F.col(f"`{source_col}`").cast("string"), *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep if c not in own]))] if set(keep) - own else []))
+    key = F.xxhash64(column(id_col).cast("long"), text_or_empty(text_col), column(source_col).cast("string"))
+    others = [column(c) for c in keep if c not in own]
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
     rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), _word_count(text_or_empty(text_col)).alias("size"), key.alias("key"),
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.lit(None).cast("int").alias("row"),
+        column(id_col).cast("long").alias("doc_id"), column(source_col).cast("string").alias("source"), _word_count(text_or_empty(text_col)).alias("size"), key.alias("key"), rest.alias("rest"),
+        F.struct(*[column(c) for c in keep]).alias("row") if keep else F.lit(None).cast("int").alias("row"),
     )
     return cut(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-rows")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import held_out, text_or_empty
+from folioforge.llm.common import column, held_out, text_or_empty
 
 #: Most labelled documents that a model learns from.
 SAMPLE = 20_000
@@ -170,7 +170,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, i
     """``doc_id, text, label`` of at most ``sample`` labelled rows that may be learned from."""
     chosen = labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    own = docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
@@ -196,5 +196,5 @@ def score(docs: DataFrame, model: Gam, threshold: float = 0.3, id_col: str = "do
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(feature_matrix(batch.column(2))))], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import free_name, text_or_empty, words_of
+from folioforge.llm.common import column, free_name, text_or_empty, words_of
 
 #: Runs of letters, digits and underscores; runs of anything else but white space.
 TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
@@ -88,7 +88,7 @@ def _flag_trusted(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: st
     ids = trusted.select(F.col(id_col).alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids.hint("merge")
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    own = docs.select(column(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return own.join(ids, own["id"] == ids["trusted_id"], "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
 
 
@@ -133,4 +133,4 @@ def quality_rules(
     inner = free_name(docs, "_judged")
     flat = [F.col(inner)["s"][x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr")]
     judged = let(measured, lambda s: F.struct(s.alias("s"), (~s["base_failed"] & (s["llr"] >= threshold)).alias("kept")))
-    return docs.select("*", judged.alias(inner)).select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*flat, F.col(inner)["kept"].alias("kept")).alias(free_name(docs, "_quality")))
+    return docs.select("*", judged.alias(inner)).select(*[column(c) for c in docs.columns], F.struct(*flat, F.col(inner)["kept"].alias("kept")).alias(free_name(docs, "_quality")))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, text_or_empty
+from folioforge.llm.common import column, cut, text_or_empty
 from folioforge.llm.quality_rules import let
 
 #: The base kinds in their order: pattern, group of the value, and its least length (fixed values).
@@ -100,7 +100,7 @@ def secret_scan(docs: DataFrame, repository: list[str], owner: str, id_col: str
     base = F.sort_array(F.concat(*[spans(text, pattern, group, least, rank, _MAY_HAVE.get(kind)) for rank, (kind, pattern, group, least) in enumerate(BASE)]))
     other = F.filter(spans(text, CANDIDATE, 0, LEAST, len(BASE), None), lambda x: _looks_secret(x["value"]))
     scanned = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{owner}`").cast("string").alias("owner"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in repository])).alias("repository"),
+        column(id_col).cast("long").alias("doc_id"), column(owner).cast("string").alias("owner"), F.to_json(F.struct(*[column(c) for c in repository])).alias("repository"),
         let(F.struct(base.alias("base"), other.alias("other")), lambda s: F.struct(
             s["base"].alias("base"),
             F.filter(s["other"], lambda c: ~F.exists(s["base"], lambda b: (c["start"] < b["end"]) & (c["end"] > b["start"]))).alias("other"),

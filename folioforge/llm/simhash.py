@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, text_or_empty
+from folioforge.llm.common import column, cut, text_or_empty
 from folioforge.llm.components import components
 
 RADIUS = 3
@@ -95,7 +95,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``doc_id, row, fp`` for each row; ``fp`` holds the 64 bits as a long, ``row`` what ``row_col`` has or null."""
     row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row, text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(_fingerprint, "doc_id long, row long, fp long")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), row, text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(_fingerprint, "doc_id long, row long, fp long")
 
 
 class Balls:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, discard, text_or_empty
+from folioforge.llm.common import column, cut, discard, text_or_empty
 
 #: Words of an anchor.
 ANCHOR = 5
@@ -247,7 +247,7 @@ def _finish(window: int):
 def _parsed(docs: DataFrame, window: int, anchor: int, id_col: str, text_col: str) -> DataFrame:
     """All documents after their parse."""
     # The id and a hash of the text name a row's text; rows that repeat share a name and their results.
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("sign"), "text")
+    named = docs.select(column(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("sign"), "text")
     index = cut(named.mapInArrow(_index(window, anchor), "id long, sign long, anchor long, block long, first int, windows int"), "substring-index")
 
     # Most anchors occur once and go here; of the others, most have equal blocks all over, so few need counts by block.

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioforge.llm.bpe_codec import byte_signs
-from folioforge.llm.common import cut, text_or_empty
+from folioforge.llm.common import column, cut, text_or_empty
 from folioforge.llm.token_coder import decode, encode
 
 #: Ids of a record, as far as documents allow, and the id that ends a document.
@@ -195,7 +195,7 @@ def _write(path: str, end_id: int, record_ids: int):
 
 def coded_records(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, record_ids: int = RECORD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the file, to be written where the caller wants it."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("sign", F.xxhash64("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("sign", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "sign").sortWithinPartitions("doc_id", "sign").select("doc_id", "text")
     return ordered.mapInArrow(_write(tokenizer_path, end_id, record_ids), _FILE)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, free_name, held_out, text_or_empty
+from folioforge.llm.common import column, cut, free_name, held_out, text_or_empty
 from folioforge.llm.quality_gam import training_rows
 
 #: Most labelled documents, and most features, that the classifier learns from.
@@ -330,7 +330,7 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.5, id_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([model.score(restorer, t.as_py()) for t in batch.column(2)], pa.float64())], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
