@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe_codec import bpe_rows
-from folioforge.llm.common import cut, dropping, free_name, read_table
+from folioforge.llm.common import column, cut, dropping, free_name, read_table
 from folioforge.llm.exact_dedup import exact_dedup
 from folioforge.llm.mixing import mixed_documents
 from folioforge.llm.quality_rules import quality_rules
@@ -39,7 +39,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
     judged = quality_rules(docs, trusted)
-    return judged.where(F.col(judged.columns[-1])["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.where(F.col(judged.columns[-1])["kept"]).select(*[column(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixed_documents(docs)
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.select(*[column(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
