@@ -12,7 +12,7 @@ from folioforge.functions.text import TERMINALS
 HYPHENS = "-‐‑­"
 CLOSING = "”’\"')）]】"
 #: What a Markdown paragraph does not begin with: headings, items, quotes, fences, rules, markup, tables.
-NOT_PARAGRAPH = r"^(?:#{1,6}(?:\s|$)|[-*+]\s|\d{1,9}[.)]\s|>|```|~~~|<[A-Za-z/!?]|(?:[-*_][ \t]*){3,}$)|\n *(?:=+|-+) *(?:\n|$)|\|[^\n]*\n[ \t]*[|:-][-|: \t]*-[-|: \t]*(?:\n|$)"
+NOT_PARAGRAPH = r"^(?:#{1,6}(?:\s|$)|[-*+]\s|\d{1,9}[.)]\s|>|```|~~~|<(?:[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$)|[/!?])|(?:[-*_][ \t]*){3,}$)|\n *(?:=+|-+) *(?:\n|$)|\|[^\n]*\n[ \t]*[|:-][-|: \t]*-[-|: \t]*(?:\n|$)"
 #: What a plain one does not have inside: images, markup that is no address, display formulas.
 NOT_PLAIN = r"!\[[^\]\n]*\]\(|<(?:[A-Za-z][A-Za-z0-9-]*(?:[\s/>])|/|!--)|\$\$[^$]+\$\$"
 CODE_TICKS = r"`[^`\n]*`"

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from folioforge.storage import kept
 
-#: Rounds of pointer doubling: a chain of 2 to that power entries; more are a circle.
-MOST_ROUNDS = 40
-
-
 def flattened(toc: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``id, label, path, depth, ancestors, has_children`` of an adjacency table ``id, parent, ord, label``.
 
@@ -24,16 +20,17 @@ def flattened(toc: DataFrame, keys: list[str] | None = None) -> DataFrame:
     parents = toc.where("parent IS NOT NULL").select(*keys, F.col("parent").alias("id")).distinct().withColumn("has_children", F.lit(True))
     rows = toc.withColumn("_n", (F.row_number().over(w) - 1).cast("string")).join(parents, [*keys, "id"], "left")
     rows = rows.select(*keys, "id", "label", F.coalesce("has_children", F.lit(False)).alias("has_children"), F.array("_n").alias("_way"), F.col("parent").alias("_up"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         rows = kept(rows, "tree-ways")
-        if rows.where("_up IS NOT NULL").isEmpty():
+        n, longest, open_ = rows.agg(F.count("*"), F.max(F.size("_way")), F.count_if(F.col("_up").isNotNull())).first()
+        if not open_:
             break
+        if longest > n:  # a way has no more steps than there are entries
+            raise ValueError("the parents of a tree go in a circle")
         above = rows.select(*keys, F.col("id").alias("_up"), F.col("_way").alias("_above"), F.col("_up").alias("_next"))
         rows = rows.where("_up IS NULL").unionByName(
             rows.where("_up IS NOT NULL").join(above, [*keys, "_up"]).select(*keys, "id", "label", "has_children", F.concat("_above", "_way").alias("_way"), F.col("_next").alias("_up"))
         )
-    else:
-        raise ValueError("the parents of a tree go in a circle")
     ancestors = F.transform(F.filter(F.sequence(F.lit(1), F.size("_way")), lambda k: k < F.size("_way")), lambda k: F.array_join(F.slice("_way", F.lit(1), k), "/"))
     return rows.select(*keys, "id", "label", F.array_join("_way", "/").alias("path"), (F.size("_way") - 1).cast("long").alias("depth"), ancestors.alias("ancestors"), "has_children")
 
