@@ -47,13 +47,14 @@ def joined_text(tail: Column, head: Column) -> Column:
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
-    """``book_id, page, markdown`` with cut paragraphs on the page where they begin; pages with a ``role`` stay apart.
+    """``book_id, page, markdown`` with cut paragraphs on the page where they begin; pages with a ``role``, if there is such a column, stay apart.
 
     Whether two pages meet depends on their own blocks alone, but for a page of one block: once that went
     to the page before, there is nothing left to go on. So in a run of such pages every second seam
     holds, counted from the last page that settles it, and two windows say which.
     """
     w = Window.partitionBy("book_id").orderBy("page")
+    pages = pages if "role" in pages.columns else pages.withColumn("role", F.lit(None).cast("string"))
     b = pages.select("book_id", "page", "role", page_blocks(F.coalesce("markdown", F.lit(""))).alias("b")).withColumn("n", F.row_number().over(w))
     head = F.get(F.lead("b").over(w), F.lit(0))
     tail = F.when(F.size("b") > 0, F.get("b", F.size("b") - 1))

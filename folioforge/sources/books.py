@@ -130,6 +130,8 @@ class Archive:
         try:
             self._zip = zipfile.ZipFile(io.BytesIO(data))
         except zipfile.BadZipFile:
+            if b"PK\x03\x04" not in data:
+                raise
             self._found = recovered_entries(data)
             self.names = list(self._found)
             return
