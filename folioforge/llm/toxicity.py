@@ -315,10 +315,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     share = pos / (pos + neg)
     spread = F.sqrt((F.col("pos") + F.col("neg") + 1) * (share * (1 - share)))
     names = [r["feature"] for r in counted.withColumn("z", F.abs(F.col("pos") - (F.col("pos") + F.col("neg")) * share) / spread).where("z > 2.5").orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
-    table = rows.mapInArrow(_present(letters, names), "doc_id long, at array<int>, label int").orderBy("doc_id", "at").toArrow()
-    at = table.column("at").to_pylist()
+    # At most as many rows as the sample has; they are ordered here, as a distributed sort would make them twice.
+    table = rows.mapInArrow(_present(letters, names), "doc_id long, at array<int>, label int").toArrow().to_pydict()
+    at, y = zip(*[(a, label) for _, a, label in sorted(zip(table["doc_id"], table["at"], table["label"], strict=True))], strict=True)
     r = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    base, w = fit_weights(r, np.array([x for row in at for x in row], np.int64), np.array(table.column("label").to_pylist(), np.float64), len(names))
+    base, w = fit_weights(r, np.array([x for row in at for x in row], np.int64), np.array(y, np.float64), len(names))
     return Toxicity(letters, base, dict(zip(names, w.tolist(), strict=True)))
 
 
