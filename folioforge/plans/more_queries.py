@@ -10,7 +10,6 @@ from folioforge.functions import text as X
 from folioforge.operators import merges as M
 from folioforge.operators import pages as P
 from folioforge.operators import tree as N
-from folioforge.sources.html import html_blocks
 from folioforge.sources.tables import BLOCKS_SQL, TOC_SQL, blocks, table, toc
 
 QUERIES, ORACLE_SQL = {}, {}

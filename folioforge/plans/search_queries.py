@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioforge.functions import text as X
 from folioforge.operators.search import matches, search, section_titles, suggestions
 from folioforge.sources.tables import BLOCKS_SQL, blocks, table
 
