@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
