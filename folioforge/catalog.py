@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("folioforge.plans.scalar_queries", "folioforge.plans.search_queries", "folioforge.plans.join_queries", "folioforge.plans.window_queries", "folioforge.plans.source_queries", "folioforge.plans.more_queries", "folioforge.plans.book_queries", "folioforge.plans.markup_queries", "folioforge.plans.sink_queries", "folioforge.plans.stream_queries", "folioforge.plans.overlay_queries")
+MODULES: tuple[str, ...] = ("folioforge.plans.scalar_queries", "folioforge.plans.search_queries", "folioforge.plans.join_queries", "folioforge.plans.window_queries", "folioforge.plans.source_queries", "folioforge.plans.more_queries", "folioforge.plans.book_queries", "folioforge.plans.markup_queries", "folioforge.plans.sink_queries", "folioforge.plans.stream_queries", "folioforge.plans.overlay_queries", "folioforge.plans.format_queries")
 FLAGSHIP = "q01_search"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.storage import kept
@@ -51,3 +51,10 @@ def top_groups(rows: DataFrame, key: str, order: str, depth: str) -> DataFrame:
     """``group``: the number of top rows up to each row, so rows below a top row share its number."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("group", F.sum((F.col(depth) == 0).cast("long")).over(w))
+
+
+def surviving(flat: DataFrame, resolved: Column) -> DataFrame:
+    """Rows of a flattened tree that can be resolved, and those above them, which stay for their children's sake."""
+    marked = flat.withColumn("_ok", F.coalesce(resolved, F.lit(False)))
+    above = marked.where("_ok").select(F.explode("ancestors").alias("path")).distinct()
+    return marked.join(above.withColumn("_above", F.lit(True)), "path", "left").where("_ok OR _above").select(*flat.columns, F.col("_ok").alias("resolved"))

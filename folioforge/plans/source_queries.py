@@ -85,12 +85,6 @@ def s26(spark, sf_dir, page_id: int = 7):
     return table(spark, sf_dir, "pages").where(F.col("page_id") == page_id).select("page_id", F.length("html").cast("long").alias("bytes"))
 
 
-@_query("s27_ocr_lines", "SELECT event_id, json_extract_string(props, '$.k') AS markdown FROM events")
-def s27(spark, sf_dir):
-    """A field of JSON lines, empty where it is missing."""
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("markdown"))
-
-
 @_query("s28_pages_from_items", "WITH i AS (SELECT user_id AS book, event_id % 15 AS page, event_id, CASE event_type WHEN 'view' THEN '# ' || event_id WHEN 'click' THEN '- ' || event_id ELSE event_id::VARCHAR END AS md FROM events WHERE event_type <> 'error'), a AS (SELECT book, page, string_agg(md, chr(10) || chr(10) ORDER BY event_id) AS markdown FROM i GROUP BY ALL) SELECT b.book, g.page, coalesce(a.markdown, '') AS markdown FROM (SELECT DISTINCT book FROM i) b CROSS JOIN range(0, 15) g(page) LEFT JOIN a ON a.book = b.book AND a.page = g.page")
 def s28(spark, sf_dir):
     """Markdown of each page from typed items, empty pages too."""
@@ -101,14 +95,6 @@ def s28(spark, sf_dir):
     return dense.join(a, ["book", "page"], "left").select("book", "page", F.coalesce("markdown", F.lit("")).alias("markdown"))
 
 
-@_query("s33_json_in_text", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def s33(spark, sf_dir):
-    """JSON taken out of a fenced answer."""
-    answer = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone"))
-    found = F.coalesce(F.nullif(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit("")))
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"))
-
-
 @_query("s37_navigation_documents", "SELECT page_id, regexp_matches(lower(html), '(?s)<body[^>]*>\\s*<nav.*</nav>\\s*</body>') AND contains(lower(html), 'toc') AS navigation FROM pages")
 def s37(spark, sf_dir):
     """Whether a document is nothing but navigation."""

@@ -67,3 +67,15 @@ def cascaded(rules: list[Rule], tag: str, attributes: dict[str, str | None]) ->
 def is_end_aligned(style: dict[str, str]) -> bool:
     """Whether text is set to the end of its line."""
     return style.get("text-align", "").lower() in ("right", "end")
+
+
+#: Properties that an element has from its parent where it sets none (fixed values).
+INHERITED = ("text-align", "color", "font-weight", "font-style", "line-height")
+
+
+def inherited(chain: list[dict[str, str]]) -> dict[str, str]:
+    """The properties of the last of nested elements, the outermost first: its own, and those that are handed down."""
+    out: dict[str, str] = {}
+    for own in chain:
+        out = {k: v for k, v in out.items() if k in INHERITED} | own
+    return {k: v for k, v in out.items() if v != "inherit"}
