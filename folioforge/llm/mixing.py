@@ -15,7 +15,7 @@ splits or partitions, so reruns agree on any layout; rows that are equal in all
 change places without effect.
 
 One row a source comes to the driver and goes to all tasks: at most ``MOST_SOURCES`` sources
-(about 30 bytes each), beyond which a ``ValueError`` asks for a coarser source column.
+(about 100 bytes each), beyond which a ``ValueError`` asks for a coarser source column.
 
 Defined cases: null text has size 0; null is a source of its own, the last; documents of
 size 0 are never taken; rows that repeat are documents of their own; null ids are ids like
