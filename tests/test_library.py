@@ -81,6 +81,50 @@ def test_line_groups(spark):
     assert got == [0, 1, 1, 2, 3, 4]
 
 
+def _groups_of(lines):
+    """Group numbers of one page's lines ``x, y, w, h, text``, line by line."""
+    groups, first, size, before = [], None, 0, None
+    for x, y, w, h, text in lines:
+        starts = first is None or first[2]
+        if not starts:
+            px, py, pw, ph, ptext = before
+            tall = max(ph, h, 1.0)
+            overlap = (min(px + pw, x + w) - max(px, x)) / max(min(pw, w), 1.0)
+            starts = y - py <= tall * 0.25 or y - (py + ph) > tall * 0.45 or min(ph, h) / tall < 0.68 or (len(text) < 20 and w < pw * 0.35 and len(ptext) > 40) or (overlap < 0.35 and abs(x - px) > tall * 2.5)
+            starts = starts or x > first[0] + tall * 2.5 or (x + tall * 4.0 < first[0] and w > first[1] * 1.25) or (size > 1 and w > first[1] * 1.35 and pw < w * 0.8)
+        if starts:
+            number = (text.split() or [""])[0]
+            first, size = (x, w, len(text) < 80 and "." in number and not number.strip("0123456789.")), 0
+        groups.append((groups[-1] if groups else -1) + starts)
+        size, before = size + 1, (x, y, w, h, text)
+    return groups
+
+
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_line_groups_over_batches(spark, batch):
+    rng = random.Random(3)
+    pages = {}
+    for page in range(400):
+        y, lines = 0.0, []
+        for _ in range(3000 if page == 5 else rng.randint(1, 20)):
+            y += rng.choice([12.0] * 12 + [1.0, 40.0])
+            x, w = rng.choice([50.0] * 6 + [15.0, 60.0, 79.0, 400.0]), rng.choice([100.0, 120.0, 150.0, 300.0, 30.0])
+            lines.append((x, y, w, rng.choice([10.0] * 9 + [11.0, 20.0]), rng.choice(["words " * 9, "words", "1.2 Part", " 3.", "1.a", "5", "", "."])))
+        pages[page] = lines
+    rows = [(page, i, *line) for page, lines in pages.items() for i, line in enumerate(lines)]
+    rng.shuffle(rows)
+    found = P.line_groups(spark.createDataFrame(rows, "page long, line long, x double, y double, w double, h double, text string"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.page, r.line): r.group for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {(page, i): g for page, lines in pages.items() for i, g in enumerate(_groups_of(lines))}
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no call a page: 147,236 pages took 147 s
+
+
 def test_trees_deeper_than_any_loop(spark):
     chain = spark.range(150).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"), F.lit(0).cast("long").alias("ord"), F.lit("x").alias("label"))
     got = {r.id: r for r in N.flattened(chain).collect()}
