@@ -248,7 +248,8 @@ _LINES_SQL = """l AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY
     SELECT page, line, g::BIGINT AS "group" FROM r""")
 def w13(spark, sf_dir):
     """Lines of a page in paragraphs by their boxes."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(w).cast("long").alias("line"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))  # noqa: E741
+    w = Window.partitionBy("page").orderBy("l_linenumber", "p", "l_suppkey", "q", "l_extendedprice")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", F.col("l_partkey").alias("p"), "l_suppkey", F.col("l_quantity").alias("q"), "l_extendedprice")  # noqa: E741
+    l = l.withColumn("line", F.row_number().over(w).cast("long"))  # noqa: E741
     text = F.when(F.pmod("p", F.lit(11)) == 0, F.concat(F.lit("1."), "line", F.lit(" Part"))).otherwise(F.concat(F.expr("repeat('word ', int(round(q / 2)))"), F.lit("end")))
     return P.line_groups(l.select("page", "line", (50.0 + F.col("q") % 7 * 9).alias("x"), (F.col("line") * 13.0 + F.col("q") % 5 * 2).alias("y"), (60.0 + F.col("q") * 5).alias("w"), (9.0 + F.col("p") % 6).alias("h"), text.alias("text")))
