@@ -29,8 +29,11 @@ def budgeted(rows: DataFrame, key: list[str], order: list[str], length: str, bud
 
 
 def merged_ranges(ranges: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping and touching ranges of a key as one."""
-    w = Window.partitionBy(*key).orderBy(start, end)
+    """Overlapping and touching ranges of a key as one; a range without a start makes none of its own beside others.
+
+    Equal ranges are peers in the sum's frame, so the order in which these come does not matter.
+    """
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
     return marked.withColumn("_island", F.sum("_new").over(w)).groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
